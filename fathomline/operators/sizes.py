@@ -1,0 +1,17 @@
+"""Size checks that choose between a one-task form and a distributed form of an operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_BYTES = 32 * 1024 * 1024
+
+
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Whether the planner's size estimate is at most ``limit``.
+
+    For a scan the estimate is the size of its files; for filters and aggregates Spark keeps or raises
+    the size of the input, and for joins it multiplies. Staged results therefore pass the check by their
+    true size, and anything computed from a large table fails it.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
