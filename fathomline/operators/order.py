@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathomline.operators.rescale import table_value
 from fathomline.operators.sizes import is_small
+from fathomline.sources.tables import stage, stored
 
 N_BUCKETS = 256
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -53,7 +54,7 @@ def _small_summary(values: DataFrame) -> DataFrame:
 
 
 def _bucketed_summary(values: DataFrame) -> DataFrame:
-    counts = values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     # one row per summarised column, whatever the size of the table
     basics = counts.groupBy("measure").agg(
         F.sum("n").alias("total"),
@@ -119,7 +120,9 @@ def ordinal(df: DataFrame, by: str, ties: list[str], out: str = "ord") -> DataFr
     order = [F.asc_nulls_last(by), *[F.asc_nulls_last(c) for c in ties]]
     if is_small(df):
         return df.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
-    bucketed = df.withColumn("_bucket", _bucket(F.col(by), table_value(df, _cut_points(by))))
+    df = stored(df, "ordinal")
+    with_cuts = df.withColumn("_cuts", table_value(df, _cut_points(by)))
+    bucketed = with_cuts.withColumn("_bucket", _bucket(F.col(by), F.col("_cuts"))).drop("_cuts")
     # at most N_BUCKETS + 1 rows
     running = W.partitionBy(F.lit(0)).orderBy("_bucket")
     offsets = (

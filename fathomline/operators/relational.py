@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fathomline.sources.tables import stored
+
 _COPIES_PER_TASK_ROW = 100_000
 
 
@@ -79,6 +81,7 @@ def top_ties(df: DataFrame, by: list[str], weight: str, n: int) -> DataFrame:
     looked at and pruned to that before the shuffle. Rows are then filtered against that limit, so no
     task ever holds the rows of a group or of a tie.
     """
+    df = stored(df, "top")
     down = W.partitionBy(*by).orderBy(F.desc(weight))
     before = F.coalesce(F.sum("_n").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = df.where(F.col(weight).isNotNull()).groupBy(*by, weight).agg(F.count(F.lit(1)).alias("_n"))

@@ -10,7 +10,7 @@ from fathomline.operators.relational import repeated_rows, union_all
 from fathomline.operators.spatial import zone_cover
 from fathomline.plans import layers, native, pathogens, production, reports, scores, traits
 from fathomline.plans.registry import register, rounded, rounded_sql
-from fathomline.plans.star_tables import SYNONYMS, TAXON_GROUPS, UNIT, StarTables
+from fathomline.plans.star_tables import KEYS, SYNONYMS, TAXON_GROUPS, UNIT, StarTables
 from fathomline.session import fresh_path
 from fathomline.sources.occurrences import load_occurrences
 from fathomline.sources.tables import stage
@@ -29,7 +29,7 @@ _TOP = f"""SELECT sci_name AS species, spp_name, avg(quantity) AS mean_quantity,
 
 def _star(t: StarTables) -> DataFrame:
     star = production.star_production(t.fact, t.dimensions, SYNONYMS)
-    return star.drop("p_partkey", "s_suppkey", "c_custkey")
+    return star.drop(*KEYS)
 
 
 def _top(t: StarTables) -> DataFrame:
@@ -79,7 +79,7 @@ def _(t):
     f"SELECT species, country, area, zone, n_zones, {rounded_sql('mean_prod', 'zone_prod')} FROM fx_apportioned",
 )
 def _(t):
-    return rounded(production.apportion_zones(t.staged_unit_zone, UNIT), "mean_prod", "zone_prod")
+    return rounded(production.apportion_zones(t.unit_zone, UNIT), "mean_prod", "zone_prod")
 
 
 def _occurrence_files(t: StarTables) -> str:
@@ -153,7 +153,7 @@ _STATUS_COLUMNS = "species, country, area, zone, status, introduced, native, n_z
     f"SELECT {_STATUS_COLUMNS}, {rounded_sql('mean_prod', 'zone_prod')} FROM fx_status",
 )
 def _(t):
-    apportioned = production.apportion_zones(t.staged_unit_zone, UNIT)
+    apportioned = production.apportion_zones(t.unit_zone, UNIT)
     return rounded(native.status_label(apportioned, t.native), "mean_prod", "zone_prod")
 
 
@@ -235,7 +235,7 @@ def _(t):
     "SELECT z.zone, z.realm, z.province, p.n_pathogen FROM fx_zone z LEFT JOIN fx_pathogens p ON z.zone = p.zone",
 )
 def _(t):
-    return pathogens.pathogen_map_table(pathogens.pathogens_by_zone(t.staged_unit_zone, t.agents), t.zones)
+    return pathogens.pathogen_map_table(pathogens.pathogens_by_zone(t.unit_zone, t.agents), t.zones)
 
 
 @register("x16_pathogenic_score", "SELECT zone, round(pathogenic_score, 6) AS pathogenic_score FROM fx_pathogenic")
@@ -254,7 +254,7 @@ def _(t):
          GROUP BY species, zone) f ON z.zone = f.zone""",
 )
 def _(t):
-    score = pathogens.pathogenic_score_sqrt(t.staged_unit_zone, t.agents)
+    score = pathogens.pathogenic_score_sqrt(t.unit_zone, t.agents)
     return rounded(pathogens.score_on_all_zones(t.zones, score), "pathogenic_total")
 
 
@@ -272,7 +272,7 @@ def _(t):
         FROM fx_apportioned s LEFT JOIN fx_index i ON s.species = i.species""",
 )
 def _(t):
-    apportioned = production.apportion_zones(t.staged_unit_zone, UNIT)
+    apportioned = production.apportion_zones(t.unit_zone, UNIT)
     return rounded(traits.trait_production(t.index, apportioned), "mean_prod", "zone_prod", *_INDEX)
 
 
@@ -288,7 +288,7 @@ def _(t):
          FROM fx_unit_zone u LEFT JOIN fx_index i ON u.species = i.species GROUP BY zone) m ON z.zone = m.zone""",
 )
 def _(t):
-    score = traits.ecological_score_mean(traits.trait_production(t.index, t.staged_unit_zone), t.zones)
+    score = traits.ecological_score_mean(traits.trait_production(t.index, t.unit_zone), t.zones)
     return rounded(score, "ecol_total")
 
 
@@ -609,7 +609,7 @@ def _(t):
         FROM fx_apportioned JOIN fx_geometry USING (zone)""",
 )
 def _(t):
-    apportioned = production.apportion_zones(t.staged_unit_zone, UNIT)
+    apportioned = production.apportion_zones(t.unit_zone, UNIT)
     layer = layers.zone_production_layer(apportioned, t.zone_shapes)
     saved = layers.save_layer(layer, fresh_path(t.spark, "production-layer"))
     return rounded(_geometry(saved), "mean_prod", "zone_prod")
@@ -632,7 +632,7 @@ def _(t):
 
 @register(
     "x41_apportion_by_ratio",
-    """SELECT species, country, area, zone, weight, round(ratio, 6) AS ratio, round(mean_prod, 6) AS mean_prod,
+    """SELECT species, country, area, zone, weight, round(ratio, 9) AS ratio, round(mean_prod, 6) AS mean_prod,
               round(mean_prod * ratio, 6) AS zone_prod
        FROM (SELECT species, country, area, zone, weight,
                     weight / nullif(sum(weight) OVER (PARTITION BY species, country, area), 0) AS ratio
@@ -644,7 +644,7 @@ def _(t):
     years = t.production.where((F.col("environment") == "O") & (F.col("yr") > 1996))
     weights = years.groupBy(*UNIT, "zone").agg(F.sum("quantity").alias("weight"))
     split = production.apportion_by_ratio(weights, t.unit, UNIT)
-    return rounded(split, "ratio", "mean_prod", "zone_prod")
+    return rounded(rounded(split, "ratio", digits=9), "mean_prod", "zone_prod")
 
 
 _WIDE = [

@@ -11,13 +11,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.plans.native import status_label
-from fathomline.plans.production import apportion_zones, mean_production
+from fathomline.plans.production import apportion_zones
 from fathomline.plans.pathogens import pathogenic_score, pathogens_by_zone
 from fathomline.plans.scores import overall_risk, zone_production_scores
 from fathomline.plans.traits import invasive_score, trait_index
 from fathomline.sources.tables import stage
 
 UNIT = ["species", "country", "area"]
+KEYS = ["p_partkey", "s_suppkey", "c_custkey", "s_nationkey", "c_nationkey"]
 
 # Stand-ins for the fixed values of the real data.
 SYNONYMS = {"hot ring": "cold ring", "red rod": "new rod"}
@@ -41,14 +42,37 @@ EDGES = [
 ]
 
 
+# Declared, so that no scan has to look into a file to be planned.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+                 o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+                   l_extendedprice double, l_discount double, l_tax double, l_returnflag string,
+                   l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 class StarTables:
     """The test tables below ``path`` and the views on them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        return self._tables[name]
 
     # production -----------------------------------------------------------------------------------
 
@@ -69,6 +93,7 @@ class StarTables:
 
     @cached_property
     def dimensions(self) -> list[tuple[DataFrame, str]]:
+        """Each table joins on its own, so that the planner sees the size of each file."""
         nation = self.table("nation")
         species = self.table("part").select(
             "p_partkey",
@@ -77,53 +102,64 @@ class StarTables:
             F.upper("p_name").alias("spp_name"),
             F.col("p_type").alias("major_group"),
         )
-        country = (
-            self.table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("s_suppkey", F.col("n_name").alias("country"), F.col("n_regionkey").alias("area"))
-        )
-        zone = (
-            self.table("customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("c_custkey", F.col("n_name").alias("zone"))
+        country = nation.select(
+            F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"), F.col("n_regionkey").alias("area")
         )
-        return [(species, "p_partkey"), (country, "s_suppkey"), (zone, "c_custkey")]
+        zone = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("zone"))
+        return [
+            (species, "p_partkey"),
+            (self.table("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey"),
+            (self.table("customer").select("c_custkey", "c_nationkey"), "c_custkey"),
+            (country, "s_nationkey"),
+            (zone, "c_nationkey"),
+        ]
 
     @cached_property
     def production(self) -> DataFrame:
-        joined = self.fact
-        for dimension, key in self.dimensions:
-            joined = joined.join(dimension, key)
-        return joined.drop("p_partkey", "s_suppkey", "c_custkey")
+        return self._joined(self.fact, self.dimensions)
+
+    def _joined(self, rows: DataFrame, dimensions: list[tuple[DataFrame, str]]) -> DataFrame:
+        for dimension, key in dimensions:
+            rows = rows.join(dimension, key).drop(key)
+        return rows
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """All that units, their zones and native ranges need of the fact, per unit and zone.
+
+        One pass over the fact with one partially aggregated shuffle; the three views below read the
+        stored result and not the fact. Grouped by nation keys: their names are looked up afterwards, on
+        the groups.
+        """
+        marine, year, quantity = F.col("environment") == "O", F.col("yr"), F.col("quantity")
+        averaged = marine & (year > 1996)
+        *tables, country, zone = self.dimensions
+        profile = self._joined(self.fact, tables).groupBy("species", "s_nationkey", "c_nationkey").agg(
+            F.sum(F.when(averaged, quantity)).alias("total"),
+            F.count(F.when(averaged, quantity)).alias("n"),
+            F.max(marine & (year > 1999) & (quantity >= 45)).alias("farmed"),
+            F.max((F.col("environment") == "F") & (year < 1997) & (quantity >= 49)).alias("native"),
+        )
+        return stage(self._joined(profile, [country, zone]), "profile")
 
     @cached_property
     def unit(self) -> DataFrame:
-        marine = self.production.where(F.col("environment") == "O")
-        return mean_production(marine, UNIT, 1996)
+        mean = F.try_divide(F.sum("total"), F.sum("n"))
+        return self.profile.groupBy(*UNIT).agg(mean.alias("mean_prod")).where(F.col("mean_prod") > 0)
 
     @cached_property
     def unit_zone(self) -> DataFrame:
         """Units in the zones they are farmed in."""
-        farmed = self.production.where(
-            (F.col("environment") == "O") & (F.col("yr") > 1999) & (F.col("quantity") >= 45)
-        )
-        return self.unit.join(farmed.select(*UNIT, "zone").distinct(), UNIT)
+        return self.unit.join(self.profile.where("farmed").select(*UNIT, "zone"), UNIT)
 
     @cached_property
     def native(self) -> DataFrame:
-        seen = self.production.where(
-            (F.col("environment") == "F") & (F.col("yr") < 1997) & (F.col("quantity") >= 49)
-        )
-        return seen.select("species", "zone").distinct()
-
-    @cached_property
-    def staged_unit_zone(self) -> DataFrame:
-        return stage(self.unit_zone, "unit-zone")
+        return self.profile.where("native").select("species", "zone").distinct()
 
     @cached_property
     def status(self) -> DataFrame:
         """Apportioned and labelled production, stored as several scores read it."""
-        return stage(status_label(apportion_zones(self.staged_unit_zone, UNIT), self.native), "status")
+        return stage(status_label(apportion_zones(self.unit_zone, UNIT), self.native), "status")
 
     # zones ----------------------------------------------------------------------------------------
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from fathomline.sources.schemas import RINGS
 
@@ -59,7 +59,7 @@ def read_layer(spark: SparkSession, path: str, properties: StructType) -> DataFr
 def read_collection(spark: SparkSession, path: str, properties: StructType) -> DataFrame:
     """Scan files that hold one FeatureCollection each. Such a file cannot be split; convert a large
     one to ``write_layer`` form first."""
-    collection: DataType = StructType().add("features", "array<string>")
+    collection = StructType([StructField("features", ArrayType(StringType()))])
     rows = spark.read.schema(collection).option("multiLine", True).json(path)
     text = rows.select(F.explode("features").alias("text"))
     parsed = text.select(F.from_json("text", _feature_type(properties)).alias("f")).select("f.*")
