@@ -257,7 +257,8 @@ class StarTables:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return zone_production_scores(self.status)
+        """Stored, as both other scores read it."""
+        return stage(zone_production_scores(self.status), "scores")
 
     @cached_property
     def invasive(self) -> DataFrame:

@@ -111,24 +111,20 @@ def test_enrich_and_constants(spark):
     assert rows(constant_rows(spark, {"zone": "z"}, "species", ["a", "b"])) == [("z", "a"), ("z", "b")]
 
 
-def test_staging_root_follows_the_session(spark, tmp_path, monkeypatch):
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/shared/")
-    try:
-        assert session.staging_root(spark) == f"{tmp_path}/shared"
-        assert stage(spark.range(1), "t").inputFiles()[0].startswith(f"file:{tmp_path}/shared/t-") or stage(
-            spark.range(1), "t"
-        ).inputFiles()[0].startswith(f"file://{tmp_path}/shared/t-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class _Session:
+    """As much of a session as the choice of the folder looks at."""
 
+    def __init__(self, master, **settings):
+        self.conf = settings
+        self.sparkContext = type("Context", (), {"master": master})
 
-def test_no_local_folder_on_a_cluster():
-    class Cluster:
-        class conf:
-            get = staticmethod(lambda key, default=None: default)
 
-        class sparkContext:
-            master = "spark://host:7077"
+def test_staging_root_follows_the_session():
+    cluster = _Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared/staging/"})
+    assert session.staging_root(cluster) == "hdfs://shared/staging"
+    assert session.fresh_path(cluster, "t") != session.fresh_path(cluster, "t")
+
 
+def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.staging_root(Cluster)
+        session.staging_root(_Session("spark://host:7077"))
