@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 
+from fathomline.sources.tables import stored
+
 
 def principal_components(df: DataFrame, columns: list[str]) -> DataFrame:
     """Importance and loadings of all components, one row per component.
@@ -15,7 +17,8 @@ def principal_components(df: DataFrame, columns: list[str]) -> DataFrame:
     per input column.
     """
     spark = df.sparkSession
-    assembled = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error").transform(df.select(*columns))
+    values = stored(df.select(*columns), "components")
+    assembled = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error").transform(values)
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(assembled)
     model = PCA(k=len(columns), inputCol="scaled", outputCol="scores").fit(scaler.transform(assembled))
     proportion = model.explainedVariance.toArray()

@@ -49,12 +49,14 @@ def label_presence(
 ) -> DataFrame:
     """Label each row by whether its key occurs in ``presence``.
 
-    ``presence`` is made distinct first, so that rows are never multiplied. Rows are the preserved side:
-    a key that holds many of them is split by the adaptive skew join.
+    ``presence`` is made distinct first, so that rows are never multiplied. Rows are the preserved side,
+    so a key that holds many of them is split by the adaptive skew join. (Plain keys would let the join
+    reuse the partitioning of the distinct, and a side without a shuffle of its own cannot be split; the
+    null-safe condition shuffles the distinct keys once more.)
     """
     marks = presence.select(*_keys(on)).distinct().withColumn("_present", F.lit(True))
     labelled = F.when(F.col("_present"), present).otherwise(absent)
-    return rows.join(marks, _keys(on), "left").withColumn(label, labelled).drop("_present")
+    return join_on(rows, marks, on, "left", null_safe=True).withColumn(label, labelled).drop("_present")
 
 
 def group_distinct(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
@@ -107,7 +109,9 @@ def repeated_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     last = F.floor((F.col("_extra") - 1) / block)
     blocks = extra.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     size = F.least(block.cast("bigint"), F.col("_extra") - F.col("_block") * block)
-    spread = blocks.withColumn("_size", size).repartition(*columns, "_block")
+    # a fixed number of partitions: a few bytes of counts become many rows, which sizes do not tell
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.withColumn("_size", size).repartition(tasks, *columns, "_block")
     return spread.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_size"))).select(*columns)
 
 

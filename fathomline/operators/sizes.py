@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SMALL_BYTES = 32 * 1024 * 1024
+SMALL_BYTES = 4 * 1024 * 1024
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:

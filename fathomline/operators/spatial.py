@@ -68,7 +68,10 @@ def zone_cover(zones: DataFrame, zone: str = "zone", rings: str = "rings", cell:
     size, pad = F.lit(float(cell)), F.lit(cell * 1e-9)
     low = lambda axis: F.array_min(F.transform("_edges", lambda e: F.least(e[f"{axis}1"], e[f"{axis}2"])))
     high = lambda axis: F.array_max(F.transform("_edges", lambda e: F.greatest(e[f"{axis}1"], e[f"{axis}2"])))
-    cells = lambda axis: F.explode(F.sequence(F.floor(low(axis) / size), F.floor(high(axis) / size)))
+    cell_range = lambda axis, name: F.sequence(F.floor(low(axis) / size), F.floor(high(axis) / size)).alias(name)
+    # few rows with much work each: spread by band before the cells are tested. A fixed number of
+    # partitions, as the adaptive coalescing goes by bytes and would put them back into one task.
+    tasks = zones.sparkSession.sparkContext.defaultParallelism
 
     def overlaps(e: Column, axis: str, start: Column) -> Column:
         a, b = e[f"{axis}1"], e[f"{axis}2"]
@@ -78,13 +81,15 @@ def zone_cover(zones: DataFrame, zone: str = "zone", rings: str = "rings", cell:
     bands = (
         zones.select(zone, ring_edges(rings).alias("_edges"))
         .where(F.size("_edges") > 0)
-        .withColumn("cy", cells("y"))
+        .withColumn("cy", F.explode(cell_range("y", "cells")))
         .withColumn("_band", F.filter("_edges", lambda e: overlaps(e, "y", bottom)))
+        .select(zone, "cy", "_band", cell_range("x", "_columns"))
+        .repartition(tasks, zone, "cy")
     )
     ahead = F.filter("_band", lambda e: F.greatest(e["x1"], e["x2"]) >= left - pad)
     near = F.exists("_ahead", lambda e: overlaps(e, "x", left))
     return (
-        bands.withColumn("cx", cells("x"))
+        bands.withColumn("cx", F.explode("_columns"))
         .withColumn("_ahead", ahead)
         .withColumn("_near", near)
         .where(F.col("_near") | inside("_ahead", left + size / 2, bottom + size / 2))

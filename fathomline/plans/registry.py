@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.plans.oracle_views import with_views
 from fathomline.plans.star_tables import StarTables
-from fathomline.session import tune
+from fathomline.session import folder_bytes, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +19,7 @@ def register(name: str, sql: str | None = None):
 
     def add(build: Callable[[StarTables], DataFrame]):
         def run(spark: SparkSession, path: str) -> DataFrame:
-            return build(StarTables(tune(spark), path))
+            return build(StarTables(tune(spark, folder_bytes(spark, path)), path))
 
         QUERIES[name] = run
         if sql is not None:

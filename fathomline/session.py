@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -18,16 +19,34 @@ RUNTIME_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Raw input per shuffle partition. Scans keep few columns and aggregates are combined before a shuffle,
+# so a partition holds a small part of this.
+INPUT_PER_PARTITION = 4 * 1024**3
+
 _local_root: str | None = None
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``RUNTIME_DEFAULTS`` to a session built elsewhere."""
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Apply ``RUNTIME_DEFAULTS`` to a session built elsewhere.
+
+    With the size of the input, shuffles start from enough partitions for it; adaptive execution merges
+    those that turn out small. 100 TB gives about 25,000.
+    """
     for key, value in RUNTIME_DEFAULTS.items():
         spark.conf.set(key, value)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, math.ceil(input_bytes / INPUT_PER_PARTITION))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
     return spark
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files below a path, from the file system's own summary."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(folder).getLength())
+
+
 def local_session(cpus: str = "*", app: str = "fathomline", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
