@@ -15,18 +15,14 @@ from fathomline.sources.tables import stage, stored
 
 N_BUCKETS = 256
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+# rank error of the sketch behind the cut points of a summary, as one over this
+_ACCURACY = 50_000
+_BRACKETS = [p + side * 2 / _ACCURACY for p in _QUARTILES.values() for side in (-1, 1)]
 SUMMARY = ["min", "q1", "median", "mean", "q3", "max"]
 
 
-def _cut_points(value: str) -> Column:
-    shares = F.array(*[F.lit(i / N_BUCKETS) for i in range(1, N_BUCKETS)])
-    return F.percentile_approx(value, shares, F.lit(10 * N_BUCKETS))
-
-
-def _bucket(value: Column, cuts: Column) -> Column:
-    """How many cut points lie below the value; null (sorted last) comes after all of them."""
-    below = F.size(F.filter(cuts, lambda cut: cut < value))
-    return F.when(value.isNull(), F.lit(N_BUCKETS)).otherwise(below)
+def _cut_points(value: str, shares: list[float], accuracy: int) -> Column:
+    return F.percentile_approx(value, F.array(*[F.lit(p) for p in shares]), F.lit(accuracy))
 
 
 def six_number_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,9 +32,11 @@ def six_number_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     built-in exact percentile, which keeps all distinct values in one task; a large one by
     ``_bucketed_summary``.
     """
+    small = is_small(df)
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = numbers if small else stored(numbers, "summary-input")
     values = numbers.unpivot([], columns, "measure", "value").where(F.col("value").isNotNull())
-    return _small_summary(values) if is_small(df) else _bucketed_summary(values)
+    return _small_summary(values) if small else _bucketed_summary(values)
 
 
 def _small_summary(values: DataFrame) -> DataFrame:
@@ -54,23 +52,33 @@ def _small_summary(values: DataFrame) -> DataFrame:
 
 
 def _bucketed_summary(values: DataFrame) -> DataFrame:
-    counts = stage(values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    """Three passes over (measure, value), none of which shuffles more than sketches, counts and the
+    values close to a quartile.
+
+    The first pass brackets each quartile from both sides; the second counts the values in and between
+    the brackets; the third orders the values of the parts that hold a quartile. Should a bracket miss,
+    its quartile is looked for in the part it really lies in.
+    """
     # one row per summarised column, whatever the size of the table
-    basics = counts.groupBy("measure").agg(
-        F.sum("n").alias("total"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        _cut_points("value").alias("cuts"),
+    basics = stage(
+        values.groupBy("measure").agg(
+            F.count("value").alias("total"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.avg("value").alias("mean"),
+            _cut_points("value", _BRACKETS, _ACCURACY).alias("cuts"),
+        ),
+        "summary-basics",
     )
-    bucketed = counts.join(F.broadcast(basics.select("measure", "cuts")), "measure").select(
-        "measure", "value", "n", _bucket(F.col("value"), F.col("cuts")).alias("bucket")
+    above = [(F.col("cuts")[i] < F.col("value")).cast("int") for i in range(len(_BRACKETS))]
+    bucketed = values.join(F.broadcast(basics.select("measure", "cuts")), "measure").select(
+        "measure", "value", sum(above[1:], above[0]).alias("bucket")
     )
-    # at most N_BUCKETS + 1 rows per summarised column
+    # at most one more row per summarised column than there are cut points
     running = W.partitionBy("measure").orderBy("bucket")
     offsets = (
         bucketed.groupBy("measure", "bucket")
-        .agg(F.sum("n").alias("size"))
+        .agg(F.count(F.lit(1)).alias("size"))
         .withColumn("start", F.sum("size").over(running) - F.col("size"))
     )
     # the ranks (from 0) of the two values each quartile lies between
@@ -88,28 +96,28 @@ def _bucketed_summary(values: DataFrame) -> DataFrame:
         ]
     )
     ranks = basics.select("measure", F.inline(wanted))
-    hits = ranks.join(offsets, "measure").where(
-        (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("size"))
-    )
+    holds = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("size"))
+    # two rows per quartile and summarised column
+    hits = stage(ranks.join(offsets, "measure").where(holds).drop("size"), "summary-hits")
     needed = hits.select("measure", "bucket", "start").distinct()
     within = W.partitionBy("measure", "bucket").orderBy("value")
     ordered = (
         bucketed.join(F.broadcast(needed), ["measure", "bucket"])
+        .groupBy("measure", "bucket", "start", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.col("start") + F.sum("n").over(within))
         .select("measure", "bucket", "value", (F.col("upto") - F.col("n")).alias("from"), "upto")
     )
-    found = ordered.join(
-        F.broadcast(hits.select("measure", "bucket", "name", "side", "rank", "part")), ["measure", "bucket"]
-    ).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
-    pick = lambda name, side, x: F.max(F.when((F.col("name") == name) & (F.col("side") == side), x))
+    found = ordered.join(F.broadcast(hits.drop("start")), ["measure", "bucket"]).where(
+        (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto"))
+    )
+    picked = lambda name, side, x: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(x)))
+    low, high, part = (
+        {name: picked(name, side, x) for name in _QUARTILES}
+        for side, x in (("low", "value"), ("high", "value"), ("low", "part"))
+    )
     quartiles = found.groupBy("measure").agg(
-        *[
-            (
-                pick(name, "low", F.col("value"))
-                + pick(name, "low", F.col("part")) * (pick(name, "high", F.col("value")) - pick(name, "low", F.col("value")))
-            ).alias(name)
-            for name in _QUARTILES
-        ]
+        *[(low[name] + part[name] * (high[name] - low[name])).alias(name) for name in _QUARTILES]
     )
     return basics.join(quartiles, "measure").select("measure", *SUMMARY)
 
@@ -121,8 +129,12 @@ def ordinal(df: DataFrame, by: str, ties: list[str], out: str = "ord") -> DataFr
     if is_small(df):
         return df.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
     df = stored(df, "ordinal")
-    with_cuts = df.withColumn("_cuts", table_value(df, _cut_points(by)))
-    bucketed = with_cuts.withColumn("_bucket", _bucket(F.col(by), F.col("_cuts"))).drop("_cuts")
+    shares = [i / N_BUCKETS for i in range(1, N_BUCKETS)]
+    with_cuts = df.withColumn("_cuts", table_value(df, _cut_points(by, shares, 10 * N_BUCKETS)))
+    # how many cut points lie below the value; null, sorted last, comes after all of them
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(by)))
+    bucket = F.when(F.col(by).isNull(), F.lit(N_BUCKETS)).otherwise(below)
+    bucketed = with_cuts.withColumn("_bucket", bucket).drop("_cuts")
     # at most N_BUCKETS + 1 rows
     running = W.partitionBy(F.lit(0)).orderBy("_bucket")
     offsets = (
