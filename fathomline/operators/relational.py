@@ -35,8 +35,8 @@ def join_on(
 
 
 def keep_members(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows whose key occurs in ``keys``."""
-    return rows.join(keys.select(*_keys(on)), _keys(on), "left_semi")
+    """Rows whose key occurs in ``keys``; a null key is found if ``keys`` has one."""
+    return join_on(rows, keys.select(*_keys(on)), on, "left_semi", null_safe=True)
 
 
 def label_presence(

@@ -31,7 +31,7 @@ from fathomline.session import fresh_path
 from fathomline.sources import schemas
 from fathomline.sources.enrich import constant_rows, enrich
 from fathomline.sources.geojson import read_layer, write_layer
-from fathomline.sources.occurrences import as_points, load_probabilities
+from fathomline.sources.occurrences import as_points, load_probabilities, off_globe
 from fathomline.sources.tables import (
     current_table,
     read_csv,
@@ -683,11 +683,17 @@ def _(t):
 # spatial ------------------------------------------------------------------------------------------
 
 
-@register("g01_points", "SELECT vec_id, label, lon, lat FROM fx_point WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90")
+@register("g01_points", "SELECT vec_id, label, lon, lat FROM fx_point")
 def _(t):
     return as_points(t.vector_points)
 
 
+@register("g01_off_globe", "SELECT vec_id, lon * 900 AS lon, lat FROM fx_point WHERE lon * 900 NOT BETWEEN -180 AND 180")
+def _(t):
+    stretched = t.vector_points.select("vec_id", (F.col("lon") * 900).alias("lon"), "lat")
+    return off_globe(as_points(stretched))
+
+
 @register("g02_points_in_zones", INSIDE_SQL.format(id="vec_id", points="fx_point", edges="fx_edge"))
 def _(t):
     cover = stage(zone_cover(t.origin_zones, cell=0.05), "cover")

@@ -37,6 +37,11 @@ def load_probabilities(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 
 def as_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Keep the rows whose coordinates are a position on WGS84; the two columns are the geometry."""
+    """Mark two columns as a position on WGS84. No row is dropped; ``off_globe`` lists bad ones."""
+    return df.withMetadata(lon, {"crs": 4326}).withMetadata(lat, {"crs": 4326})
+
+
+def off_globe(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Rows whose coordinates are missing or outside the range of degrees."""
     on_globe = F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90)
-    return df.where(on_globe).withMetadata(lon, {"crs": 4326}).withMetadata(lat, {"crs": 4326})
+    return df.where(~F.coalesce(on_globe, F.lit(False)))

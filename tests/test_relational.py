@@ -74,3 +74,10 @@ def test_share_union_and_columns(spark):
 def test_precedence_of_or(spark):
     df = spark.createDataFrame([(False, True, True), (False, True, False), (True, True, False)], "a boolean, b boolean, c boolean")
     assert rows(df.where("a AND b OR c")) == [(False, True, True), (True, True, False)]
+
+
+def test_membership(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    keys = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert rows(rel.keep_members(df, keys, "k")) == [("a", 1), (None, 3)]
+    assert rel.keep_members(df, keys, "k").columns == ["k", "v"]

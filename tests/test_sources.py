@@ -7,7 +7,7 @@ from fathomline import session
 from fathomline.sources import schemas
 from fathomline.sources.enrich import constant_rows, enrich
 from fathomline.sources.geojson import read_collection, read_layer, write_layer
-from fathomline.sources.occurrences import as_points, load_occurrences, load_probabilities
+from fathomline.sources.occurrences import as_points, load_occurrences, load_probabilities, off_globe
 from fathomline.sources.tables import (
     current_table,
     read_csv,
@@ -52,7 +52,9 @@ def test_occurrences_of_many_files_in_one_scan(spark, tmp_path):
     df = load_occurrences(spark, str(tmp_path / "*.csv"), {"Beta labrax": "Beta bass"})
     assert rows(df.groupBy("species", "file").count()) == [("Alpha labrax", "a.csv", 2), ("Beta bass", "b.csv", 2)]
     assert rows(df.where("file = 'a.csv'").select("lat", "lon")) == [(14.75, -17.25), (18.75, -16.25)]
-    assert as_points(df.withColumn("lon", F.col("lon") - 163)).count() == 2  # two points fall off the globe
+    points = as_points(df.withColumn("lon", F.col("lon") - 163))
+    assert points.schema["lon"].metadata == {"crs": 4326} and points.count() == 4
+    assert off_globe(points).count() == 2
 
 
 def test_probabilities(spark, tmp_path):
