@@ -641,8 +641,7 @@ def _(t):
        JOIN fx_unit USING (species, country, area)""",
 )
 def _(t):
-    years = t.production.where((F.col("environment") == "O") & (F.col("yr") > 1996))
-    weights = years.groupBy(*UNIT, "zone").agg(F.sum("quantity").alias("weight"))
+    weights = t.profile.where(F.col("total").isNotNull()).select(*UNIT, "zone", F.col("total").alias("weight"))
     split = production.apportion_by_ratio(weights, t.unit, UNIT)
     return rounded(rounded(split, "ratio", digits=9), "mean_prod", "zone_prod")
 
