@@ -24,7 +24,7 @@ from fathomline.operators.spatial import join_points, points_in_cover, zone_cove
 from fathomline.plans.job_queries import INSIDE_SQL, mean_ci_sql, summary_sql
 from fathomline.plans.layers import save_layer, with_geometry, without_geometry
 from fathomline.plans.native import native_presence
-from fathomline.plans.registry import register, rounded, rounded_sql
+from fathomline.plans.registry import register, rounded
 from fathomline.plans.reports import mean_ci, six_number_summary
 from fathomline.plans.star_tables import StarTables
 from fathomline.session import fresh_path
