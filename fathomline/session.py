@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,8 +24,6 @@ RUNTIME_DEFAULTS = {
 # so a partition holds a small part of this.
 INPUT_PER_PARTITION = 4 * 1024**3
 
-_local_root: str | None = None
-
 
 def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
     """Apply ``RUNTIME_DEFAULTS`` to a session built elsewhere.
@@ -62,22 +61,40 @@ def local_session(cpus: str = "*", app: str = "fathomline", memory: str = "8g")
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder staged tables are written to.
+    """The folder staged tables are written to; driver and executors must all reach it.
 
-    A cluster names it in ``spark.checkpoint.dir``. Without that setting a temporary folder is used,
-    but only when driver and executors are one process; elsewhere executors could not read it.
+    ``spark.checkpoint.dir`` names it, else the context's own checkpoint folder, else it lies in the
+    warehouse, which every session shares with its executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="fathomline-")
-    return _local_root
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
+
+
+_scopes: list[list[str]] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the staging root that no earlier call returned."""
-    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library has written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def staged_until_done(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables staged inside the block when it ends: their results must have been used by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
