@@ -28,7 +28,7 @@ AGREEING = 92
 PIECE = 256
 # Shingles of the members, and number of the asking documents, of one block of the confirming step.
 PIECE_SHINGLES = 131_072
-SALT_ROWS = 1_000
+SALT_ROWS = 500
 _BLOCK = 4096
 _PRINTS = "doc_id long, n_shingles long, hi long, lo long, bands array<long>, minima binary"
 _SETS = "doc_id long, hi long, lo long, shingles binary"
@@ -247,7 +247,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, asking: DataFrame, members:
     A target's members are cut into pieces of bounded total size, its asking documents into salts of
     bounded number; every piece meets every salt in a block of its own.
     """
-    per_target = members.groupBy("target").agg(F.ceil(F.sum("n_shingles") / PIECE_SHINGLES).alias("pieces"))
+    per_target = members.groupBy("target").agg(F.greatest(F.ceil(F.sum("n_shingles") / PIECE_SHINGLES), F.ceil(F.count("*") / PIECE)).alias("pieces"))
     asked = asking.groupBy(F.col("target").alias("_t")).agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     plan = stage(per_target.join(asked, F.col("target") == F.col("_t")).select("_t", "pieces", "salts"), "blocks")
 
@@ -356,19 +356,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def _remaining(classes: DataFrame, shared: DataFrame, labelled: DataFrame) -> DataFrame:
     """(node, target) to test: documents and unlike components inside the buckets that still hold several."""
     inside = stage(_with(shared.select("key", "node"), "node", labelled, component="target"), "inside")
+    held = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
     live = (
-        inside.groupBy("key")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"))
-        .where("_low < _high")
-        .select(F.col("key").alias("_key"), F.ceil(F.col("_n") / PIECE).alias("pieces"))
+        held.groupBy("key")
+        .agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("unlike"))
+        .where("unlike > 1")
+        .select(
+            F.col("key").alias("_key"),
+            F.col("major.component").alias("major"),
+            F.ceil((F.col("n") - F.col("major.n")) / PIECE).alias("minors"),
+            F.ceil(F.col("major.n") / PIECE).alias("majors"),
+        )
     )
     rows = inside.join(stage(live, "live"), F.col("key") == F.col("_key")).drop("_key")
     rows = _with(rows, "node", classes, n_shingles="n_shingles", minima="minima")
     weights = stage(labelled.groupBy("target").agg(F.count("*").alias("weight")), "weights")
     rows = _with(rows, "component", weights.withColumnRenamed("target", "node"), weight="weight")
-    piece = F.pmod(F.xxhash64("node"), F.col("pieces"))
-    # piece i meets piece j in the group (i, j), i <= j
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
+    # The bucket's largest component is cut into pieces of its own, numbered after the others: they meet
+    # the pieces of the rest but not each other, so a row of a large group is sent once.
+    in_major = F.col("component") == F.col("major")
+    piece = F.when(in_major, F.col("minors") + F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("minors"))
+    )
+    meets = F.when(in_major, F.col("minors")).otherwise(F.col("minors") + F.col("majors"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), meets - 1))
     rows = rows.withColumn("piece", piece).withColumn("other", other)
     rows = rows.withColumns({"one": F.least("piece", "other"), "two": F.greatest("piece", "other")})
     rows = rows.select("key", "one", "two", "piece", "node", "component", "weight", "n_shingles", "minima")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import public_tokenizers
 
+from fathomline.llm import bpe, decontamination, toxicity
 from fathomline.llm.minhash import near_duplicates
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -21,6 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds."""
+    return F.crc32(doc_id.cast("string")) % folds
+
+
+def ranks(spark: SparkSession, name: str = VOCABULARY):
+    """The bytes of a vocabulary file, under a megabyte, for all executors."""
+    with open(public_tokenizers.path(name), "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.round_trip(table(spark, sf_dir, "documents"), ranks(spark), public_tokenizers.PATTERN)
+    return tokens.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: fold(doc_id, 5) != 0)
+    return toxicity.score(docs, model, "doc_id").select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
