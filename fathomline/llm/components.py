@@ -26,7 +26,8 @@ def _relinked(edges: DataFrame, smaller: bool) -> DataFrame:
         )
     else:
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    moved = moved.where("u <> v")
+    return moved.distinct() if smaller else moved
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

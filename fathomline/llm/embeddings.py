@@ -55,8 +55,12 @@ def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for round_signs in signs:
                 turned = _hadamard(turned * round_signs) / np.sqrt(width)
             size = np.abs(turned)
-            best = np.argsort(-size, axis=1, kind="stable")[:, :3]
-            near = np.take_along_axis(size, best, axis=1)
+            best = np.empty((n, 3), np.int64)
+            near = np.empty((n, 3))
+            for rank in range(3):
+                best[:, rank] = size.argmax(axis=1)
+                near[:, rank] = size[np.arange(n), best[:, rank]]
+                size[np.arange(n), best[:, rank]] = -1
             axes.append(2 * best + (np.take_along_axis(turned, best, axis=1) < 0))
             loss.append(near[:, :1] - near)
         home[:, table] = axes[0][:, 0] * 2 * width + axes[1][:, 0]
@@ -105,36 +109,35 @@ def _by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the keys of its buckets (of each table its home, then as a guest) and their numbers."""
     for batch in slices(batches, 1024):
-        nodes, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        for rows, unit in _by_width(batch.column(2)):
+        label = batch.column("label").to_numpy().astype(np.int64)
+        for rows, unit in _by_width(batch.column("vector")):
             home, guest = codes(unit)
-            all_codes = np.concatenate([home[:, :, None], guest], axis=2)
+            numbers = np.concatenate([home[:, :, None], guest], axis=2)
             key = mix(np.full(len(rows), np.uint64(unit.shape[1])) * _GOLDEN ^ label[rows].view(np.uint64))
             key = mix(key[:, None] * _GOLDEN ^ np.arange(TABLES, dtype=np.uint64)[None, :])
-            key = mix(key[:, :, None] * _GOLDEN ^ all_codes.astype(np.uint64))
-            at_home = np.zeros(all_codes.shape, bool)
-            at_home[:, :, 0] = True
+            key = mix(key[:, :, None] * _GOLDEN ^ numbers.astype(np.uint64)).view(np.int64)
+            flat = pa.array(key.ravel())
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TABLES * (1 + GUESTS))
+            kept = batch.take(pa.array(rows))
             yield pa.record_batch(
                 [
-                    pa.array(np.repeat(nodes[rows], TABLES * (1 + GUESTS))),
-                    pa.array(key.ravel().view(np.int64)),
-                    pa.array(at_home.ravel()),
-                    pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int64), 1 + GUESTS), len(rows))),
+                    *kept.columns,
+                    pa.ListArray.from_arrays(ends, flat),
+                    pa.array([x.astype(np.int64).tobytes() for x in numbers], pa.binary()),
                 ],
-                names=["node", "key", "home", "hash"],
+                names=[*batch.schema.names, "keys", "numbers"],
             )
 
 
-def _counted_here(unit_a, unit_b, table: np.ndarray, a_home: np.ndarray, b_home: np.ndarray) -> np.ndarray:
-    """Whether this bucket is the first in which the pair meets; ``a`` is the one of the smaller id."""
-    home_a, guest_a = codes(unit_a)
-    home_b, guest_b = codes(unit_b)
-    b_visits = (guest_b == home_a[:, :, None]).any(axis=2)
-    a_visits = (guest_a == home_b[:, :, None]).any(axis=2)
+def _counted_here(a: np.ndarray, b: np.ndarray, table: np.ndarray, a_home: np.ndarray) -> np.ndarray:
+    """Whether this bucket is the first in which the pair meets; ``a`` holds the numbers of the smaller id."""
+    home_a, home_b = a[:, :, 0], b[:, :, 0]
+    b_visits = (b[:, :, 1:] == home_a[:, :, None]).any(axis=2)
+    a_visits = (a[:, :, 1:] == home_b[:, :, None]).any(axis=2)
     same = home_a == home_b
-    met = same | b_visits | a_visits
-    first = met.argmax(axis=1) == table
+    first = (same | b_visits | a_visits).argmax(axis=1) == table
     row = np.arange(len(table))
     # in one table they may meet in either home; the home of the smaller id comes first
     return first & (same[row, table] | a_home | ~b_visits[row, table])
@@ -152,7 +155,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [x.as_buffer() for x in table.column("vector").combine_chunks()]
         sizes = np.array([len(x) for x in raw])
         left, right = [], []
-        unit = {}
         vectors = np.zeros((len(raw), int(sizes.max()) // 8 if len(raw) else 0))
         for rows, own in _by_width(table.column("vector").combine_chunks()):
             vectors[rows, : own.shape[1]] = own
@@ -176,15 +178,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
         n = np.zeros(table.num_rows, np.int64)
         root = np.arange(table.num_rows)
+        held = np.frombuffer(b"".join(table.column("numbers").to_pylist()), np.int64).reshape(-1, TABLES, 1 + GUESTS)
         for k in range(0, len(a), _PAIRS):
             x, y = a[k : k + _PAIRS], b[k : k + _PAIRS]
-            for size in np.unique(sizes[x]):
-                of = sizes[x] == size
-                width = int(size) // 8
-                p, q = x[of], y[of]
-                here = _counted_here(vectors[p, :width], vectors[q, :width], number[p], home[p], home[q])
-                np.add.at(n, p[here], copies[q[here]])
-                np.add.at(n, q[here], copies[p[here]])
+            here = _counted_here(held[x], held[y], number[x], home[x])
+            np.add.at(n, x[here], copies[y[here]])
+            np.add.at(n, y[here], copies[x[here]])
         while len(a):  # the smallest row in reach inside the table
             before = root.copy()
             low = np.minimum(root[a], root[b])
@@ -234,18 +233,20 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
     prepared = stage(rows.mapInArrow(_prepared, "vec_id long, label long, hi long, lo long, vector binary"), "vectors")
-    classes = stage(
+    classes = (
         prepared.where("hi IS NOT NULL")
         .groupBy("label", "hi", "lo")
         .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-        # a class without any id still has partners: a number no id has stands for it
-        .withColumn("node", F.coalesce("least", F.xxhash64("label", "hi", "lo"))),
-        "classes",
-    )
-    spots = stage(
-        classes.select("node", "label", "vector").mapInArrow(_buckets, "node long, key long, home boolean, hash long"),
-        "spots",
+        # a class without any id still has partners: a number of its own stands for it
+        .withColumn("node", F.coalesce("least", F.xxhash64("label", "hi", "lo")))
     )
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    classes = stage(classes.mapInArrow(_buckets, f"{kept}, keys array<long>, numbers binary"), "classes")
+    spots = classes.select("node", F.posexplode("keys").alias("place", "key")).select(
+        "node", "key",
+        (F.col("place") % (1 + GUESTS) == 0).alias("home"),
+        F.floor(F.col("place") / (1 + GUESTS)).cast("long").alias("hash"),
+    )
     homes = F.count(F.when(F.col("home"), 1))
     live = stage(
         spots.groupBy("key")
@@ -270,7 +271,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     dealt = dealt.withColumns({"one": F.least("piece", "other"), "two": F.greatest("piece", "other")})
     dealt = _with(
         dealt.select("key", "one", "two", "piece", "node", "home", "hash"), "node", classes,
-        label="label", copies="copies", vector="vector",
+        label="label", copies="copies", vector="vector", numbers="numbers",
     )
     found = stage(
         dealt.repartition("key", "one", "two")

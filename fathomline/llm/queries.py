@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from fathomline.llm import bpe, decontamination, language, pii, quality, toxicity
+from fathomline.llm import bpe, chat, decontamination, language, pii, quality, toxicity
+from fathomline.llm.embeddings import near_vectors
 from fathomline.llm.minhash import near_duplicates
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -105,3 +106,97 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op1_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+number AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(number.n, 0) AS n_links, coalesce(least(v.vec_id, least.b), v.vec_id) AS component_id,
+  v.vec_id = coalesce(least(v.vec_id, least.b), v.vec_id) AS kept
+FROM v LEFT JOIN least ON v.vec_id = least.a LEFT JOIN number ON v.vec_id = number.a
+"""
+
+ORACLE["op10_minhash"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
+    range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w
+), one AS (
+  SELECT min(doc_id) AS doc_id, list_sort(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), cls AS (
+  SELECT s.doc_id, one.doc_id AS rep FROM s JOIN one ON list_sort(s.shingles) = one.shingles
+), flat AS (SELECT doc_id, unnest(shingles) AS shingle FROM one),
+size AS (SELECT doc_id, len(shingles) AS n FROM one),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id
+  WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+  coalesce(least(cls.rep, least.b), cls.rep, s.doc_id) AS component_id,
+  s.doc_id = coalesce(least(cls.rep, least.b), cls.rep, s.doc_id) AS kept
+FROM s LEFT JOIN cls ON s.doc_id = cls.doc_id LEFT JOIN least ON cls.rep = least.a
+"""
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.parse(chat.render(chat.fold(chat.events_of_turns(turns))))
+    written = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id",
+        F.size("messages").cast("long").alias("n_turns"),
+        F.sha2(written, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op6_chat"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(role) + length(text) AS plain,
+    len(regexp_extract_all(role || chr(1) || text, '<s>|</s>|<<SYS>>|<</SYS>>|\\[INST\\]|\\[/INST\\]|\\\\')) AS escapes
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(plain + escapes + 22) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
