@@ -15,7 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
 from fathomline.llm.words import Words, mix, word_hashes
@@ -148,32 +150,37 @@ def _collisions(words: Words, items: Items) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
+def find(texts: pa.Array, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(edits, first word, end word) of the best stretch for each pair (text, item) that matches."""
+    words = word_hashes(texts, WORD_BYTES)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    tried: dict[tuple[int, int], int] = {}
+    for text, item, shift in _collisions(words, items).tolist():
+        own = items.words[item]
+        allowed = int(EDITS * len(own))
+        # shifts that fall into the stretch aligned last need no alignment of their own
+        if (text, item) in tried and shift <= tried[text, item]:
+            continue
+        first, last = words.first[text], words.first[text + 1]
+        begin = max(first, first + shift - allowed)
+        stretch = words.hashes[begin : min(last, first + shift + len(own) + 2 * allowed)]
+        # every word of the item that the stretch lacks costs an edit
+        if len(items.distinct[item].difference(stretch.tolist())) > allowed:
+            continue
+        tried[text, item] = shift + allowed
+        edits, a, b = edit_distance(own, stretch)
+        if edits <= allowed and (edits, 0, 0) < best.get((text, item), (allowed + 1, 0, 0)):
+            best[text, item] = (edits, int(begin - first) + a, int(begin - first) + b)
+    return best
+
+
 def _matches(items: Items):
     """A map from (id, lower-cased text) to the confirmed passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            words = word_hashes(batch.column(1), WORD_BYTES)
             ids, out = batch.column(0).to_pylist(), []
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            tried: dict[tuple[int, int], int] = {}
-            for text, item, shift in _collisions(words, items).tolist():
-                own = items.words[item]
-                allowed = int(EDITS * len(own))
-                # shifts that fall into the stretch aligned last need no alignment of their own
-                if (text, item) in tried and shift <= tried[text, item]:
-                    continue
-                first, last = words.first[text], words.first[text + 1]
-                begin = max(first, first + shift - allowed)
-                stretch = words.hashes[begin : min(last, first + shift + len(own) + 2 * allowed)]
-                # every word of the item that the stretch lacks costs an edit
-                if len(items.distinct[item].difference(stretch.tolist())) > allowed:
-                    continue
-                tried[text, item] = shift + allowed
-                edits, a, b = edit_distance(own, stretch)
-                if edits <= allowed and (edits, 0, 0) < best.get((text, item), (allowed + 1, 0, 0)):
-                    best[text, item] = (edits, int(begin - first) + a, int(begin - first) + b)
-            for (text, item), (edits, a, b) in best.items():
+            for (text, item), (edits, a, b) in find(batch.column(1), items).items():
                 out.append((ids[text], items.ids[item], edits, len(items.words[item]), a, b))
             columns = list(zip(*out)) or [()] * 6
             yield pa.record_batch(
@@ -184,6 +191,41 @@ def _matches(items: Items):
     return run
 
 
+def benchmark_items(benchmark: DataFrame) -> Broadcast:
+    """The hashed benchmark for all tasks; its size is checked."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("text IS NOT NULL AND item_id IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > ITEM_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of text; run it in parts of at most {ITEM_BYTES}")
+    rows = items.distinct().orderBy("item_id", "text").collect()
+    prepared = prepare([r.item_id for r in rows], [r.text for r in rows])
+    # plain values: executors may lack this package
+    return benchmark.sparkSession.sparkContext.broadcast(vars(prepared))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns.
+
+    A null text holds none. Decided row by row, so repeated ids and rows without id need no care.
+    """
+    kept = benchmark_items(benchmark)
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), _lowered("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(**kept.value)
+        for batch in slices(batches, 512):
+            ok = np.ones(batch.num_rows, dtype=bool)
+            ok[[text for text, _ in find(batch.column(1), items)]] = False
+            yield batch.select(["row"]).filter(pa.array(ok))
+
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
+
+
+def _lowered(column: str) -> Column:
+    return F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_words, first_word, end_word): benchmark items that documents contain.
 
@@ -194,21 +236,11 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     match give no row; a repeated document row repeats its rows, a null doc_id stays null, other columns
     are ignored. The benchmark is hashed once and sent to every task; its size is checked.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("text IS NOT NULL AND item_id IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > ITEM_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; run it in parts of at most {ITEM_BYTES}")
-    rows = items.distinct().orderBy("item_id", "text").collect()
-    prepared = prepare([r.item_id for r in rows], [r.text for r in rows])
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
-    )
-    kept = docs.sparkSession.sparkContext.broadcast(prepared)
+    kept = benchmark_items(benchmark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lowered("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _matches(kept.value)(batches)
+        return _matches(Items(**kept.value))(batches)
 
     columns = ("doc_id", "item_id", "edits", "item_words", "first_word", "end_word")
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in columns))

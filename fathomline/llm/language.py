@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
 from fathomline.llm.words import mix
@@ -198,7 +199,6 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     A null text, one without letters and every text of a model without languages is ``und`` with score 0.
     Of equally likely languages the first in alphabetical order wins.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     used = np.flatnonzero(np.abs(model.weights).sum(axis=1)) if model.languages else np.zeros(0, np.int64)
     # only the rows of features in use travel
     place = np.full(BUCKETS, -1, dtype=np.int32)
@@ -223,5 +223,5 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", lang_pred string, score double"
+    schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)

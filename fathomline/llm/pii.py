@@ -299,9 +299,8 @@ def redact(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
             columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.record_batch(columns, names=names)
 
-    return docs.withColumn(text_column, F.col(text_column).cast("string")).mapInArrow(
-        run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.withColumn(text_column, F.col(text_column).cast("string")).schema)
-    )
+    rows = docs.withColumn(text_column, F.col(text_column).cast("string"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _redacted(text: str, model: Model) -> str:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
 
@@ -140,12 +141,11 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     The whole text is compressed. A null or empty text differs by 0, so all of them get the same score.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    kept = ", ".join(f"`{c}` {fields[c]}" for c in keep)
+    kept = StructType([docs.schema[c] for c in keep])
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     if model.good is None:
         found = rows.withColumn("difference", F.lit(0.0)).drop("_text")
     else:
-        found = rows.mapInArrow(_differences(model.good, model.bad), f"{kept}, difference double")
+        found = rows.mapInArrow(_differences(model.good, model.bad), kept.add("difference", "double"))
     z = F.col("difference") * model.slope + model.offset
     return found.select(*keep, (1 / (1 + F.exp(-z))).alias("score"))

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
 from fathomline.llm.words import word_hashes
@@ -182,7 +183,5 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     A null or empty text has no features and gets the score of the bias, the same for all of them.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double"
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(_scores(model), schema)
+    return rows.mapInArrow(_scores(model), StructType([docs.schema[c] for c in keep]).add("score", "double"))
