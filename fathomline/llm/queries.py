@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from fathomline.llm import bpe, chat, decontamination, language, pii, quality, toxicity
+from fathomline.llm import bpe, chat, decontamination, language, pii, quality, toxicity, warc
 from fathomline.llm.embeddings import near_vectors
 from fathomline.llm.minhash import near_duplicates
 
@@ -200,3 +200,22 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(plain + escapes + 22) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.look_up(warc.write(pages), pages).drop("payload")
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
