@@ -36,6 +36,8 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
             F.col("turn").cast("long").alias("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+            # keeps the two events of a row together where rows repeat; which of equal rows comes first is open
+            F.monotonically_increasing_id().alias("row"),
         ).alias("seq"),
         F.explode(F.array(F.lit("message"), F.lit("delta"))).alias("kind"),
     ).select(
