@@ -6,42 +6,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.operators.relational import join_on, keep_members
 
-MAX_RECORDS = 10_000
+# Rows over which the records of every key are spread, so that one task holds a part of a large key only.
+N_CHUNKS = 8
 
 
-def nest(
-    df: DataFrame, by: list[str], identity: list[str], out: str, max_records: int = MAX_RECORDS
-) -> DataFrame:
-    """Gather all columns but ``by`` into an array of structs per key, sorted by ``identity``.
+def nest(df: DataFrame, by: list[str], identity: list[str], out: str, n_chunks: int = N_CHUNKS) -> DataFrame:
+    """Gather all columns but ``by`` into arrays of structs per key, each sorted by ``identity``.
 
-    ``identity`` names the columns that tell a key's records apart. A key with more than about
-    ``max_records`` records is spread over several rows, numbered by ``chunk``, so that no task has to
-    hold all records of a key; every other key has the one row with ``chunk`` 0. ``n_records`` counts the
-    records of the key.
+    Rows are (key, chunk): the records of a key, whatever their number, are spread over up to
+    ``n_chunks`` rows by a hash of their fields. Consumers read all rows of a key: sums and maxima over
+    its chunks, ``unnest`` for the records, ``only_value`` for the field of a single one.
     """
     fields = [*identity, *[c for c in df.columns if c not in by and c not in identity]]
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"))
-    chunks = F.ceil(F.col("n_records") / F.lit(max_records))
-    chunk = F.pmod(F.xxhash64(*identity), chunks)
+    chunk = F.pmod(F.xxhash64(*fields), F.lit(n_chunks))
     records = F.array_sort(F.collect_list(F.struct(*fields)))
-    return (
-        join_on(df, counts, by, "left", null_safe=True)
-        .groupBy(*by, "n_records", chunk.alias("chunk"))
-        .agg(records.alias(out))
-    )
+    return df.groupBy(*by, chunk.alias("chunk")).agg(records.alias(out))
 
 
 def nest_tables(
-    keys: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], by: list[str], max_records: int = MAX_RECORDS
+    keys: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], by: list[str], n_chunks: int = N_CHUNKS
 ) -> DataFrame:
     """Nest several record tables (name to table and identity columns) side by side for the given keys.
 
-    Rows are (key, chunk); a table with fewer chunks than another is null in the rest. Unnesting one of
-    the columns gives the records of its table and nothing else.
+    Rows are (key, chunk); every key has chunk 0, and a table without records in a chunk is null there.
+    Unnesting one of the columns gives the records of its table and nothing else.
     """
     wide = keys.select(*by).distinct().withColumn("chunk", F.lit(0).cast("bigint"))
     for name, (records, identity) in tables.items():
-        nested = nest(keep_members(records, keys, by), by, identity, name, max_records).drop("n_records")
+        nested = nest(keep_members(records, keys, by), by, identity, name, n_chunks)
         wide = join_on(wide, nested, [*by, "chunk"], "full")
     return wide
 
@@ -53,12 +45,15 @@ def unnest(df: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
     return df.select(*rest, F.inline_outer(column) if keep_empty else F.inline(column))
 
 
-def only_value(records: str, field: str) -> Column:
-    """The field of a key's single record; an error for none or several."""
-    single = F.size(records) == 1
-    return F.when(single, F.col(records)[0][field]).otherwise(
-        F.raise_error(F.lit(f"{records} must hold exactly one record")).cast("double")
+def only_value(nested: DataFrame, by: list[str], records: str, field: str) -> DataFrame:
+    """(key, field): the field of each key's single record; an error for a key with several."""
+    found = nested.groupBy(*by).agg(
+        F.sum(F.size(records)).alias("_n"), F.max(F.get(records, F.lit(0))[field]).alias("_value")
+    )
+    checked = F.when(F.col("_n") == 1, F.col("_value")).otherwise(
+        F.raise_error(F.lit(f"{records} must hold exactly one record for each key")).cast("double")
     )
+    return found.select(*by, checked.alias(field))
 
 
 def all_values(records: str, field: str) -> Column:

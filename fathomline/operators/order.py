@@ -1,84 +1,53 @@
 """Exact quantiles and positions in a sort order, without sorting a table in one task.
 
-Values are cut into buckets at approximate quantiles. Bucket totals are few and give the offset of each
-bucket, so only the values of one bucket have to be ordered in one task. The cut points decide the
-balance of the buckets only; the results are exact for any cut points.
+Rows are dealt into ranges by sampled bounds and stored with the number of their range. Range sizes are few
+and give the offset of each range, so only the rows of one range have to be ordered in one task. The
+number of ranges follows the shuffle settings; the results are exact for any bounds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fathomline.operators.rescale import table_value
-from fathomline.operators.sizes import is_small
 from fathomline.sources.tables import stage, stored
 
-N_BUCKETS = 256
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-# rank error of the sketch behind the cut points of a summary, as one over this
-_ACCURACY = 50_000
-_BRACKETS = [p + side * 2 / _ACCURACY for p in _QUARTILES.values() for side in (-1, 1)]
 SUMMARY = ["min", "q1", "median", "mean", "q3", "max"]
 
 
-def _cut_points(value: str, shares: list[float], accuracy: int) -> Column:
-    return F.percentile_approx(value, F.array(*[F.lit(p) for p in shares]), F.lit(accuracy))
+def _ranges(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` stored in ranges of the given order, with the number of each row's range as ``_range``."""
+    return stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
 
 
 def six_number_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of each column, one row per column, nulls left out.
+    """Minimum, quartiles, mean and maximum of each column, and its number of nulls: one row per column.
 
-    Quartiles interpolate linearly between the two nearest values. A small table is summarised by the
-    built-in exact percentile, which keeps all distinct values in one task; a large one by
-    ``_bucketed_summary``.
+    Quartiles interpolate linearly between the two nearest values. A column without values has nulls.
+    Equal values are counted before they are dealt into ranges, so that a frequent one is one row.
     """
-    small = is_small(df)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    numbers = numbers if small else stored(numbers, "summary-input")
-    values = numbers.unpivot([], columns, "measure", "value").where(F.col("value").isNotNull())
-    return _small_summary(values) if small else _bucketed_summary(values)
-
-
-def _small_summary(values: DataFrame) -> DataFrame:
-    quartiles = F.percentile("value", F.array(*[F.lit(p) for p in _QUARTILES.values()]))
-    rows = values.groupBy("measure").agg(
-        F.min("value").alias("min"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("max"),
-        quartiles.alias("q"),
-    )
-    named = {name: F.col("q")[i] for i, name in enumerate(_QUARTILES)}
-    return rows.withColumns(named).select("measure", *SUMMARY)
-
-
-def _bucketed_summary(values: DataFrame) -> DataFrame:
-    """Three passes over (measure, value), none of which shuffles more than sketches, counts and the
-    values close to a quartile.
-
-    The first pass brackets each quartile from both sides; the second counts the values in and between
-    the brackets; the third orders the values of the parts that hold a quartile. Should a bracket miss,
-    its quartile is looked for in the part it really lies in.
-    """
-    # one row per summarised column, whatever the size of the table
-    basics = stage(
-        values.groupBy("measure").agg(
-            F.count("value").alias("total"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.avg("value").alias("mean"),
-            _cut_points("value", _BRACKETS, _ACCURACY).alias("cuts"),
-        ),
-        "summary-basics",
-    )
-    above = [(F.col("cuts")[i] < F.col("value")).cast("int") for i in range(len(_BRACKETS))]
-    bucketed = values.join(F.broadcast(basics.select("measure", "cuts")), "measure").select(
-        "measure", "value", sum(above[1:], above[0]).alias("bucket")
+    names = ", ".join(f"({c!r})" for c in columns)
+    listed = df.sparkSession.sql(f"SELECT * FROM VALUES {names} AS t(measure)")
+    numbers = stored(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "summary-input")
+    # all columns in one row of aggregates: nothing is multiplied before they are combined
+    figures = {"total": F.count, "min": F.min, "max": F.max, "mean": F.avg}
+    one = numbers.agg(
+        *[of(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, of in figures.items()],
+        *[F.count_if(F.col(c).isNull()).alias(f"nulls{i}") for i, c in enumerate(columns)],
     )
-    # at most one more row per summarised column than there are cut points
-    running = W.partitionBy("measure").orderBy("bucket")
+    each = [
+        F.struct(F.lit(c).alias("measure"), F.col(f"nulls{i}").alias("n_null"), *[F.col(f"{k}{i}").alias(k) for k in figures])
+        for i, c in enumerate(columns)
+    ]
+    basics = stage(one.select(F.inline(F.array(*each))), "summary-basics")
+    values = numbers.unpivot([], columns, "measure", "value").where(F.col("value").isNotNull())
+    counted = values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = _ranges(counted, [F.col("measure"), F.col("value")], "summary-ranges")
+    # a row for each range and column: as many as there are ranges, and a few more
+    running = W.partitionBy("measure").orderBy("_range")
     offsets = (
-        bucketed.groupBy("measure", "bucket")
-        .agg(F.count(F.lit(1)).alias("size"))
+        ranged.groupBy("measure", "_range")
+        .agg(F.sum("n").alias("size"))
         .withColumn("start", F.sum("size").over(running) - F.col("size"))
     )
     # the ranks (from 0) of the two values each quartile lies between
@@ -95,20 +64,18 @@ def _bucketed_summary(values: DataFrame) -> DataFrame:
             for side, rounding in (("low", F.floor), ("high", F.ceil))
         ]
     )
-    ranks = basics.select("measure", F.inline(wanted))
+    ranks = basics.where("total > 0").select("measure", F.inline(wanted))
     holds = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("size"))
-    # two rows per quartile and summarised column
+    # six rows for each summarised column
     hits = stage(ranks.join(offsets, "measure").where(holds).drop("size"), "summary-hits")
-    needed = hits.select("measure", "bucket", "start").distinct()
-    within = W.partitionBy("measure", "bucket").orderBy("value")
+    needed = hits.select("measure", "_range", "start").distinct()
+    within = W.partitionBy("measure", "_range").orderBy("value")
     ordered = (
-        bucketed.join(F.broadcast(needed), ["measure", "bucket"])
-        .groupBy("measure", "bucket", "start", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        ranged.join(F.broadcast(needed), ["measure", "_range"])
         .withColumn("upto", F.col("start") + F.sum("n").over(within))
-        .select("measure", "bucket", "value", (F.col("upto") - F.col("n")).alias("from"), "upto")
+        .select("measure", "_range", "value", (F.col("upto") - F.col("n")).alias("from"), "upto")
     )
-    found = ordered.join(F.broadcast(hits.drop("start")), ["measure", "bucket"]).where(
+    found = ordered.join(F.broadcast(hits.drop("start")), ["measure", "_range"]).where(
         (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto"))
     )
     picked = lambda name, side, x: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(x)))
@@ -119,29 +86,26 @@ def _bucketed_summary(values: DataFrame) -> DataFrame:
     quartiles = found.groupBy("measure").agg(
         *[(low[name] + part[name] * (high[name] - low[name])).alias(name) for name in _QUARTILES]
     )
-    return basics.join(quartiles, "measure").select("measure", *SUMMARY)
+    return listed.join(basics, "measure").join(quartiles, "measure", "left").select("measure", *SUMMARY, "n_null")
 
 
 def ordinal(df: DataFrame, by: str, ties: list[str], out: str = "ord") -> DataFrame:
     """Add the position (from 1) of each row in ascending order of ``by``, nulls last; ``ties`` decide
-    between equal values. Meant for one row per label, such as an aggregate."""
+    between equal values and spread them over ranges."""
     order = [F.asc_nulls_last(by), *[F.asc_nulls_last(c) for c in ties]]
-    if is_small(df):
-        return df.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
-    df = stored(df, "ordinal")
-    shares = [i / N_BUCKETS for i in range(1, N_BUCKETS)]
-    with_cuts = df.withColumn("_cuts", table_value(df, _cut_points(by, shares, 10 * N_BUCKETS)))
-    # how many cut points lie below the value; null, sorted last, comes after all of them
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(by)))
-    bucket = F.when(F.col(by).isNull(), F.lit(N_BUCKETS)).otherwise(below)
-    bucketed = with_cuts.withColumn("_bucket", bucket).drop("_cuts")
-    # at most N_BUCKETS + 1 rows
-    running = W.partitionBy(F.lit(0)).orderBy("_bucket")
+    ranged = _ranges(df, order, "ordinal")
+    # a row for each range
+    running = W.partitionBy(F.lit(0)).orderBy("_range")
     offsets = (
-        bucketed.groupBy("_bucket")
+        ranged.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_bucket", (F.sum("_size").over(running) - F.col("_size")).alias("_start"))
+        .select("_range", (F.sum("_size").over(running) - F.col("_size")).alias("_start"))
     )
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    placed = bucketed.withColumn("_within", within).join(F.broadcast(offsets), "_bucket")
-    return placed.withColumn(out, F.col("_start") + F.col("_within")).drop("_bucket", "_within", "_start")
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    placed = ranged.withColumn("_within", within).join(offsets, "_range")
+    return placed.withColumn(out, F.col("_start") + F.col("_within")).drop("_range", "_within", "_start")
+
+
+def positions(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """Add to a sorted DataFrame the place (from 1) at which each row comes."""
+    return ordinal(ordered.withColumn("_id", F.monotonically_increasing_id()), "_id", [], out).drop("_id")

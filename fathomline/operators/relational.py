@@ -110,7 +110,11 @@ def repeated_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     blocks = extra.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     size = F.least(block.cast("bigint"), F.col("_extra") - F.col("_block") * block)
     # a fixed number of partitions: a few bytes of counts become many rows, which sizes do not tell
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf
+    tasks = int(
+        conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        or conf.get("spark.sql.shuffle.partitions")
+    )
     spread = blocks.withColumn("_size", size).repartition(tasks, *columns, "_block")
     return spread.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_size"))).select(*columns)
 

@@ -15,14 +15,15 @@ _EDGE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
 def _closed(ring: Column) -> Column:
-    first, last = ring[0], F.element_at(ring, -1)
+    # a ring without points has no first and last one, and no edges
+    first, last = F.get(ring, F.lit(0)), F.get(ring, F.size(ring) - 1)
     closed = (first["x"] == last["x"]) & (first["y"] == last["y"])
-    return F.when(closed, ring).otherwise(F.concat(ring, F.array(first)))
+    return F.when(closed | (F.size(ring) == 0), ring).otherwise(F.concat(ring, F.array(first)))
 
 
 def _ring_edges(ring: Column) -> Column:
     ring = _closed(ring)
-    n = F.size(ring) - 1
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
     return F.zip_with(
         F.slice(ring, 1, n),
         F.slice(ring, 2, n),

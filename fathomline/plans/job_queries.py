@@ -366,7 +366,7 @@ def summary_sql(source: str, columns: list[str]) -> str:
             round(quantile_cont(CAST("{c}" AS DOUBLE), 0.25), 6) AS q1,
             round(quantile_cont(CAST("{c}" AS DOUBLE), 0.5), 6) AS median,
             round(avg("{c}"), 6) AS mean, round(quantile_cont(CAST("{c}" AS DOUBLE), 0.75), 6) AS q3,
-            round(max(CAST("{c}" AS DOUBLE)), 6) AS max FROM {source}"""
+            round(max(CAST("{c}" AS DOUBLE)), 6) AS max, count(*) - count("{c}") AS n_null FROM {source}"""
         for c in columns
     ]
     return "\nUNION ALL ".join(parts)
@@ -488,12 +488,12 @@ def _(t):
 
 @register(
     "x32_nested_traits",
-    "SELECT conv_id, role, turn, text FROM conversations WHERE role IN ('user', 'assistant')",
+    "SELECT conv_id, role, turn, text FROM conversations",
 )
 def _(t):
-    """Two kinds of records nested side by side per key, stored, and fields taken out again."""
+    """Three kinds of records nested side by side per key, stored, and fields taken out again."""
     turns = t.table("conversations")
-    roles = ("user", "assistant")
+    roles = ("user", "assistant", "system")
     records = {role: (turns.where(F.col("role") == role).drop("role"), ["turn"]) for role in roles}
     stored = stage(nest_tables(turns, records, ["conv_id"]), "nested")
     fields = lambda role: F.arrays_zip(

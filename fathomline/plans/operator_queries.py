@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fathomline.functions import aggregates as agg
 from fathomline.functions import scalars
 from fathomline.operators.nested import all_values, nest, nest_tables, only_value, unnest
-from fathomline.operators.order import ordinal
+from fathomline.operators.order import ordinal, positions
 from fathomline.operators.relational import (
     column_range,
     group_distinct,
@@ -99,7 +99,7 @@ def _(t):
 def _(t):
     stored = stage(nest(t.table("conversations"), ["conv_id"], ["turn"], "records"), "nested")
     last = F.array_max(all_values("records", "turn"))
-    return stored.groupBy("conv_id").agg(F.max("n_records").alias("n_records"), F.max(last).alias("last_turn"))
+    return stored.groupBy("conv_id").agg(F.sum(F.size("records")).alias("n_records"), F.max(last).alias("last_turn"))
 
 
 _SHAPE_SQL = """SELECT h.zone, h.realm, h.province, g.n_points, g.min_x, g.max_y
@@ -218,7 +218,8 @@ def _(t):
 )
 def _(t):
     nested = nest(t.table("conversations"), ["conv_id"], ["turn"], "records")
-    return nested.select(F.size(F.transform("records", lambda r: r["text"])).alias("n_texts"))
+    texts = F.size(F.transform("records", lambda r: r["text"]))
+    return nested.groupBy("conv_id").agg(F.sum(texts).cast("int").alias("n_texts")).select("n_texts")
 
 
 @register("p08_conjunction", f"SELECT * FROM {_SPARSE} WHERE p_type = 'LARGE' AND p_size > 10")
@@ -579,21 +580,34 @@ def _(t):
 # sorting ------------------------------------------------------------------------------------------
 
 
-@register("o01_sort_ascending", f"SELECT p_type, p_size, p_partkey FROM {_SPARSE}")
+@register(
+    "o01_sort_ascending",
+    f"""SELECT p_type, p_size, p_partkey, row_number() OVER (
+          ORDER BY p_type NULLS LAST, p_size NULLS LAST, p_partkey) AS position FROM {_SPARSE}""",
+)
 def _(t):
     rows = _sparse_part(t).select("p_type", "p_size", "p_partkey")
-    return rows.orderBy(F.asc_nulls_last("p_type"), F.asc_nulls_last("p_size"))
+    return positions(rows.orderBy(F.asc_nulls_last("p_type"), F.asc_nulls_last("p_size"), "p_partkey"))
 
 
-@register("o02_sort_descending", f"SELECT p_type, p_size, p_partkey FROM {_SPARSE}")
+@register(
+    "o02_sort_descending",
+    f"""SELECT p_type, p_size, p_partkey, row_number() OVER (
+          ORDER BY p_size DESC NULLS LAST, p_partkey) AS position FROM {_SPARSE}""",
+)
 def _(t):
-    return _sparse_part(t).select("p_type", "p_size", "p_partkey").orderBy(F.desc_nulls_last("p_size"))
+    rows = _sparse_part(t).select("p_type", "p_size", "p_partkey")
+    return positions(rows.orderBy(F.desc_nulls_last("p_size"), "p_partkey"))
 
 
-@register("o03_sort_aggregate", "SELECT p_brand, round(avg(p_retailprice), 6) AS m FROM part GROUP BY p_brand")
+@register(
+    "o03_sort_aggregate",
+    """SELECT p_brand, m, row_number() OVER (ORDER BY m, p_brand) AS position FROM (
+         SELECT p_brand, round(avg(p_retailprice), 6) AS m FROM part GROUP BY p_brand)""",
+)
 def _(t):
     means = t.table("part").groupBy("p_brand").agg(agg.mean_strict("p_retailprice").alias("m"))
-    return rounded(means.orderBy(F.asc_nulls_last("m")), "m")
+    return positions(rounded(means, "m").orderBy(F.asc_nulls_last("m"), "p_brand"))
 
 
 @register("o04_top_per_group", "SELECT c_mktsegment, c_custkey, c_acctbal FROM (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS k FROM customer) WHERE k <= 2")
@@ -647,10 +661,10 @@ def _nested_turns(t: StarTables) -> DataFrame:
     return nest(t.table("conversations"), ["conv_id"], ["turn"], "records")
 
 
-@register("u07_nest_tables", "SELECT conv_id, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS n_user, CAST(count(*) FILTER (role = 'system') AS BIGINT) AS n_system FROM conversations GROUP BY conv_id")
+@register("u07_nest_tables", "SELECT conv_id, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS n_user, CAST(count(*) FILTER (role = 'system') AS BIGINT) AS n_system, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_assistant FROM conversations GROUP BY conv_id")
 def _(t):
     turns = t.table("conversations")
-    tables = {role: (turns.where(F.col("role") == role).drop("role"), ["turn"]) for role in ("user", "system")}
+    tables = {role: (turns.where(F.col("role") == role).drop("role"), ["turn"]) for role in ("user", "system", "assistant")}
     wide = nest_tables(turns, tables, ["conv_id"])
     present = {role: F.when(F.col(role).isNotNull(), F.size(role)).otherwise(0) for role in tables}
     return wide.groupBy("conv_id").agg(*[F.sum(n).alias(f"n_{role}") for role, n in present.items()])
@@ -671,13 +685,15 @@ def _(t):
 def _(t):
     labels = t.table("labels").withColumns({"quality": F.col("quality").cast("double"), "id": F.col("doc_id")})
     nested = nest(labels, ["doc_id"], ["id"], "records")
-    return nested.select("doc_id", only_value("records", "quality").alias("quality"))
+    return only_value(nested, ["doc_id"], "records", "quality")
 
 
 @register("u11_field_vector", "SELECT conv_id, count(*)::INTEGER AS n, max(turn) AS last FROM conversations GROUP BY conv_id")
 def _(t):
     vectors = _nested_turns(t).select("conv_id", all_values("records", "turn").alias("turns"))
-    return vectors.select("conv_id", F.size("turns").alias("n"), F.array_max("turns").alias("last"))
+    return vectors.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).cast("int").alias("n"), F.max(F.array_max("turns")).alias("last")
+    )
 
 
 # spatial ------------------------------------------------------------------------------------------

@@ -62,7 +62,7 @@ VIEWS = {
         WHERE environment = 'F' AND yr < 1997 AND quantity >= 49""",
     "fx_agent": """
         SELECT DISTINCT p_brand AS species, concat(p_type, '-', CAST(p_size % 10 AS VARCHAR)) AS agent, p_type AS taxon
-        FROM part WHERE p_size < 20 AND p_brand NOT IN ('Brand#1', 'Brand#2')""",
+        FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')""",
     "fx_trait": """
         SELECT p_brand AS species, CAST(max(p_size) AS DOUBLE) AS max_length, avg(p_retailprice) AS troph,
                CASE WHEN p_brand = 'Brand#3' THEN NULL ELSE avg(p_size) END AS k

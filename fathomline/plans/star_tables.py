@@ -230,7 +230,7 @@ class StarTables:
     @cached_property
     def agents(self) -> DataFrame:
         agent = F.concat_ws("-", "p_type", (F.col("p_size") % 10).cast("string"))
-        carriers = self.table("part").where((F.col("p_size") < 20) & ~F.col("p_brand").isin("Brand#1", "Brand#2"))
+        carriers = self.table("part").where(~F.col("p_brand").isin("Brand#1", "Brand#2"))
         return carriers.select(
             F.col("p_brand").alias("species"), agent.alias("agent"), F.col("p_type").alias("taxon")
         ).distinct()

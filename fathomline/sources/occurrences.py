@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fathomline.functions.fixed_values import OCCURRENCE_SYNONYMS
 from fathomline.functions.scalars import recode
 from fathomline.sources.schemas import OCCURRENCE_COLUMNS, PROBABILITY_COLUMNS, fields
 
@@ -23,11 +24,11 @@ def _data_rows(spark: SparkSession, paths: str | list[str], columns: list[str])
 
 
 def load_occurrences(
-    spark: SparkSession, paths: str | list[str], synonyms: dict[str, str] | None = None
+    spark: SparkSession, paths: str | list[str], synonyms: dict[str, str] = OCCURRENCE_SYNONYMS
 ) -> DataFrame:
-    """Points (species, lat, lon, file) from any number of occurrence files."""
+    """Points (species, lat, lon, file) from any number of occurrence files, names recoded by ``synonyms``."""
     rows = _data_rows(spark, paths, OCCURRENCE_COLUMNS)
-    return rows.select(recode("species", synonyms or {}).alias("species"), "lat", "lon", "file")
+    return rows.select(recode("species", synonyms).alias("species"), "lat", "lon", "file")
 
 
 def load_probabilities(spark: SparkSession, paths: str | list[str]) -> DataFrame:

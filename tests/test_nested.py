@@ -10,25 +10,25 @@ def _records(spark, count=50):
     return spark.createDataFrame(data, "k string, i int, t string").repartition(4)
 
 
-def test_small_keys_have_one_row(spark):
-    out = n.nest(_records(spark), ["k"], ["i"], "r")
-    assert rows(out.select("k", "n_records", "chunk", F.size("r"))) == [("cold", 1, 0, 1), ("hot", 50, 0, 50)]
+def test_all_keys_have_the_same_form(spark):
+    out = n.nest(_records(spark), ["k"], ["i"], "r", n_chunks=1)
+    assert rows(out.select("k", "chunk", F.size("r"))) == [("cold", 0, 1), ("hot", 0, 50)]
     hot = out.where("k = 'hot'").select(n.all_values("r", "i")).first()[0]
     assert hot == list(range(50))
 
 
-def test_large_keys_are_spread_and_complete(spark):
-    out = n.nest(_records(spark), ["k"], ["i"], "r", max_records=10)
+def test_a_key_of_many_records_is_spread_and_complete(spark):
+    many = _records(spark, 25_000)
+    out = n.nest(many, ["k"], ["i"], "r")
     sizes = [r["s"] for r in out.where("k = 'hot'").select(F.size("r").alias("s")).collect()]
-    assert len(sizes) > 1 and max(sizes) < 50
-    back = n.unnest(out, "r").select("k", "i", "t")
-    assert rows(back) == rows(_records(spark))
+    assert len(sizes) == n.N_CHUNKS and max(sizes) < 2 * 25_000 / n.N_CHUNKS and sum(sizes) == 25_000
+    assert rows(n.unnest(out, "r").select("k", "i", "t")) == rows(many)
 
 
 def test_tables_side_by_side(spark):
     keys = spark.createDataFrame([("hot",), ("none",)], "k string")
     other = spark.createDataFrame([("hot", 1, 2.5), ("cold", 1, 1.0)], "k string, j int, v double")
-    wide = n.nest_tables(keys, {"a": (_records(spark), ["i"]), "b": (other, ["j"])}, ["k"], max_records=10)
+    wide = n.nest_tables(keys, {"a": (_records(spark), ["i"]), "b": (other, ["j"])}, ["k"], n_chunks=3)
     assert rows(n.unnest(wide, "b").select("k", "j", "v")) == [("hot", 1, 2.5)]
     assert n.unnest(wide, "a").count() == 50
     kept = n.unnest(wide.where("k = 'none'").select("k", "b"), "b", keep_empty=True)
@@ -37,6 +37,6 @@ def test_tables_side_by_side(spark):
 
 def test_only_value_needs_one_record(spark):
     nested = n.nest(_records(spark).withColumn("v", F.lit(1.5)), ["k"], ["i"], "r")
-    assert nested.where("k = 'cold'").select(n.only_value("r", "v")).first()[0] == 1.5
+    assert rows(n.only_value(nested.where("k = 'cold'"), ["k"], "r", "v")) == [("cold", 1.5)]
     with pytest.raises(Exception, match="exactly one record"):
-        nested.where("k = 'hot'").select(n.only_value("r", "v")).collect()
+        n.only_value(nested, ["k"], "r", "v").collect()

@@ -38,29 +38,37 @@ def _summary(values):
     return [values[0], q[0], q[1], statistics.fmean(values), q[2], values[-1]]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_summary_both_ways(spark, monkeypatch, small):
-    monkeypatch.setattr(order, "is_small", lambda df: small)
+def test_summary(spark):
     rng = random.Random(3)
     a = [rng.gauss(0, 10) for _ in range(997)]
     b = [float(rng.choice([1, 1, 1, 2, 9])) for _ in range(997)]
     df = spark.createDataFrame([(x, y, None) for x, y in zip(a, b)], "a double, b double, c double").repartition(5)
-    out = {r["measure"]: [r[c] for c in order.SUMMARY] for r in order.six_number_summary(df, ["a", "b", "c"]).collect()}
-    assert set(out) == {"a", "b"}  # nothing to summarise in c
+    found = order.six_number_summary(df, ["a", "b", "c"]).collect()
+    out = {r["measure"]: [r[c] for c in order.SUMMARY] for r in found}
     assert out["a"] == pytest.approx(_summary(a)) and out["b"] == pytest.approx(_summary(b))
+    assert out["c"] == [None] * 6  # no values, but still a row
+    assert {r["measure"]: r["n_null"] for r in found} == {"a": 0, "b": 0, "c": 997}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_summary_of_no_rows(spark):
+    found = order.six_number_summary(spark.createDataFrame([], "a double"), ["a"]).collect()
+    assert [tuple(r) for r in found] == [("a", None, None, None, None, None, None, 0)]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=40))
-def test_bucketed_summary_is_exact(spark, values):
-    df = spark.createDataFrame([("m", v) for v in values], "measure string, value double")
-    row = order._bucketed_summary(df).first()
+def test_summary_is_exact(spark, values):
+    row = order.six_number_summary(spark.createDataFrame([(v,) for v in values], "m double"), ["m"]).first()
     assert [row[c] for c in order.SUMMARY] == pytest.approx(_summary(values), rel=1e-9, abs=1e-6)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_ordinal_both_ways(spark, monkeypatch, small):
-    monkeypatch.setattr(order, "is_small", lambda df: small)
+def test_summary_with_a_third_on_one_value(spark):
+    values = [7.0] * 2000 + [float(k) for k in range(4000)]
+    row = order.six_number_summary(spark.createDataFrame([(v,) for v in values], "m double"), ["m"]).first()
+    assert [row[c] for c in order.SUMMARY] == pytest.approx(_summary(values))
+
+
+def test_ordinal(spark):
     rng = random.Random(11)
     data = [(rng.choice([None, 1.0, 2.0, rng.random()]), i) for i in range(600)]
     df = spark.createDataFrame(data, "v double, i int").repartition(6)
@@ -68,3 +76,8 @@ def test_ordinal_both_ways(spark, monkeypatch, small):
     placed = order.ordinal(df, "v", ["i"]).orderBy("ord").collect()
     assert [(r["v"], r["i"]) for r in placed] == expected
     assert [r["ord"] for r in placed] == list(range(1, 601))
+
+
+def test_positions_follow_the_sorted_rows(spark):
+    df = spark.range(200).repartition(7).orderBy(F.desc("id"))
+    assert sorted((r.position, r.id) for r in order.positions(df).collect()) == [(k + 1, 199 - k) for k in range(200)]

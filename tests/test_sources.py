@@ -116,17 +116,26 @@ def test_enrich_and_constants(spark):
 class _Session:
     """As much of a session as the choice of the folder looks at."""
 
-    def __init__(self, master, **settings):
+    def __init__(self, checkpoint=None, **settings):
         self.conf = settings
-        self.sparkContext = type("Context", (), {"master": master})
+        self.sparkContext = type("Context", (), {"getCheckpointDir": lambda _: checkpoint})()
 
 
 def test_staging_root_follows_the_session():
-    cluster = _Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared/staging/"})
+    cluster = _Session(**{"spark.checkpoint.dir": "hdfs://shared/staging/"})
     assert session.staging_root(cluster) == "hdfs://shared/staging"
     assert session.fresh_path(cluster, "t") != session.fresh_path(cluster, "t")
 
 
-def test_no_local_folder_on_a_cluster():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.staging_root(_Session("spark://host:7077"))
+def test_staging_root_without_the_setting():
+    warehouse = {"spark.sql.warehouse.dir": "hdfs://shared/warehouse"}
+    assert session.staging_root(_Session("hdfs://shared/points", **warehouse)) == "hdfs://shared/points"
+    assert session.staging_root(_Session(**warehouse)) == "hdfs://shared/warehouse/staged"
+
+
+def test_staged_tables_go_with_their_block(spark):
+    with session.staged_until_done(spark):
+        table = stage(spark.range(3), "gone")
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
