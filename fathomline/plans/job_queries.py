@@ -27,13 +27,14 @@ _TOP = f"""SELECT sci_name AS species, spp_name, avg(quantity) AS mean_quantity,
     GROUP BY sci_name, spp_name HAVING avg(quantity) > 25.5 AND count(DISTINCT country) > 0"""
 
 
-def _star(t: StarTables) -> DataFrame:
-    star = production.star_production(t.fact, t.dimensions, SYNONYMS)
-    return star.drop(*KEYS)
+def _star(t: StarTables, zones: bool = True) -> DataFrame:
+    """The star; without zones it joins neither customers nor their nations."""
+    used = [d for d in t.dimensions if zones or d[1] not in ("c_custkey", "c_nationkey")]
+    return production.star_production(t.fact, used, SYNONYMS).drop(*KEYS)
 
 
 def _top(t: StarTables) -> DataFrame:
-    return production.top_species(_star(t), "O", "LARGE", 1996, 25.5, country="country", several="ring")
+    return production.top_species(_star(t, zones=False), "O", "LARGE", 1996, 25.5, country="country", several="ring")
 
 
 @register("x01_star_production", _STAR)
@@ -67,8 +68,10 @@ def _(t):
               GROUP BY ALL HAVING avg(quantity) > 0)""",
 )
 def _(t):
-    study = production.study_production(_star(t), _top(t).select("species"), "O")
-    means = production.mean_production(study, ["study_species", "country", "area"], 1996)
+    unit = ["sci_name", "spp_name", "major_group", "country", "area"]
+    profile = stage(production.production_profile(_star(t, zones=False), unit, "O", 1996), "species-profile")
+    top = production.top_of_profile(profile, "LARGE", 25.5, country="country", several="ring").select("species")
+    means = production.mean_of_profile(profile, top, ["country", "area"])
     coded = means.withColumn("_code", F.replace("country", F.lit("NATION_"), F.lit("")))
     numbered = production.numeric_code(coded, "_code", "country_num").drop("_code")
     return rounded(numbered, "mean_prod").orderBy(F.asc_nulls_last("study_species"), F.asc_nulls_last("area"))

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fathomline.operators.relational import join_on
-from fathomline.sources.geojson import read_layer, write_layer
+from fathomline.sources.geojson import GEOMETRY, read_layer, write_layer
 from fathomline.sources.tables import write_csv
 
 
+def _geometry(zones: DataFrame) -> list[str]:
+    return [c for c in GEOMETRY if c in zones.columns]
+
+
 def with_geometry(table: DataFrame, zones: DataFrame) -> DataFrame:
     """Attach the rings of the zone, last, when the table is as small as it gets."""
-    return join_on(table, zones.select("zone", "rings"), "zone", "left")
+    return join_on(table, zones.select("zone", *_geometry(zones)), "zone", "left")
 
 
 def without_geometry(layer: DataFrame) -> DataFrame:
-    return layer.drop("rings")
+    return layer.drop(*GEOMETRY)
 
 
 def save_layer(layer: DataFrame, path: str) -> DataFrame:
     """Write a layer and return the scan of what was written."""
     write_layer(layer, path)
-    return read_layer(layer.sparkSession, path, layer.drop("rings").schema)
+    return read_layer(layer.sparkSession, path, layer.drop(*GEOMETRY).schema)
 
 
 def score_layer(risk: DataFrame, zones: DataFrame) -> DataFrame:
     """Scores with geometry, for zones with production."""
     scores = risk.drop("province", "realm").dropna(subset=["prod_total"])
-    attributes = zones.select("zone", "province", "realm", "rings")
+    attributes = zones.select("zone", "province", "realm", *_geometry(zones))
     return join_on(scores, attributes, "zone", "left")
 
 

@@ -114,7 +114,7 @@ def _figures(layer: DataFrame) -> DataFrame:
             "min_x": F.array_min(F.transform(points, lambda p: p["x"])),
             "max_y": F.array_max(F.transform(points, lambda p: p["y"])),
         }
-    ).drop("rings")
+    ).drop("rings", "parts")
 
 
 @register("s06_geojson_scan", _SHAPE_SQL)
@@ -135,6 +135,24 @@ def _(t):
     return _figures(save_layer(layer, fresh_path(t.spark, "customer-layer")))
 
 
+@register(
+    "s07_parts_round_trip",
+    "SELECT n_name AS zone, 2 AS n_parts, 2 AS n_rings_first, 1 AS n_rings_second, 3 AS n_rings FROM nation",
+)
+def _(t):
+    """A zone of two parts, the first with a hole, through the layer sink and back."""
+    islet = F.transform(F.get("rings", F.lit(0)), lambda p: F.struct((p["x"] + 90).alias("x"), p["y"].alias("y")))
+    parted = t.zone_shapes.select("zone", "rings", F.array(F.col("rings"), F.array(islet)).alias("parts"))
+    back = save_layer(parted, fresh_path(t.spark, "parts-layer"))
+    return back.select(
+        "zone",
+        F.size("parts").alias("n_parts"),
+        F.size(F.get("parts", F.lit(0))).alias("n_rings_first"),
+        F.size(F.get("parts", F.lit(1))).alias("n_rings_second"),
+        F.size("rings").alias("n_rings"),
+    )
+
+
 @register("s08_zone_layer_scan", _SHAPE_SQL)
 def _(t):
     path = fresh_path(t.spark, "zones")
@@ -152,8 +170,9 @@ def _(t):
 def _(t):
     base = fresh_path(t.spark, "versions")
     first = replace_table(t.table("part").select("p_partkey", "p_size"), base)
-    replace_table(first.withColumn("doubled", F.col("p_size") * 2), base)
-    return current_table(t.spark, base)
+    doubled = first.withColumn("doubled", F.col("p_size") * 2)
+    replace_table(doubled, base)
+    return current_table(t.spark, base, doubled.schema)
 
 
 @register("s12_keyed_enrichment", "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")

@@ -47,11 +47,17 @@ def top_species(
         & (F.col("yr") > year_after)
         & is_binomial("sci_name", several)
     )
-    per_country = rows.groupBy("sci_name", "spp_name", country).agg(
-        F.sum("quantity").alias("_sum"), F.count("quantity").alias("_n")
+    totals = rows.groupBy("sci_name", "spp_name", country).agg(
+        F.sum("quantity").alias("total"), F.count("quantity").alias("n")
     )
+    return _screened(totals, min_quantity, min_countries, country)
+
+
+def _screened(totals: DataFrame, min_quantity: float, min_countries: int, country: str) -> DataFrame:
+    """Names whose mean over ``totals`` (sums and counts of any finer groups) is large enough."""
+    per_country = totals.groupBy("sci_name", "spp_name", country).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     per_name = per_country.groupBy("sci_name", "spp_name").agg(
-        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_quantity"),
+        F.try_divide(F.sum("total"), F.sum("n")).alias("mean_quantity"),
         F.count(F.lit(1)).alias("n_countries"),
     )
     return (
@@ -61,6 +67,29 @@ def top_species(
     )
 
 
+def production_profile(star: DataFrame, by: list[str], environment: object, year_after: int) -> DataFrame:
+    """Sums and counts of the quantity of an environment's later years: one pass for screening and means."""
+    rows = star.where((F.col("environment") == environment) & (F.col("yr") > year_after))
+    return rows.groupBy(*by).agg(F.sum("quantity").alias("total"), F.count("quantity").alias("n"))
+
+
+def top_of_profile(
+    profile: DataFrame, major_group: str, min_quantity: float, min_countries: int = 0, country: str = "iso3",
+    several: str = "spp",
+) -> DataFrame:
+    """``top_species`` from a stored profile."""
+    rows = profile.where((F.col("major_group") == major_group) & is_binomial("sci_name", several))
+    return _screened(rows, min_quantity, min_countries, country)
+
+
+def mean_of_profile(profile: DataFrame, species: DataFrame, by: list[str]) -> DataFrame:
+    """``mean_production`` of the selected species from a stored profile."""
+    named = profile.withColumnRenamed("sci_name", "study_species")
+    kept = keep_members(named, species.withColumnRenamed("species", "study_species"), "study_species")
+    means = kept.groupBy("study_species", *by).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean_prod"))
+    return means.where(F.col("mean_prod") > 0)
+
+
 def study_production(star: DataFrame, species: DataFrame, environment: object = fixed.MARINE) -> DataFrame:
     """The fact rows of the selected species in an environment."""
     rows = star.where(F.col("environment") == environment).withColumnRenamed("sci_name", "study_species")

@@ -46,14 +46,18 @@ def status_totals(risk: DataFrame) -> DataFrame:
 def mean_ci(df: DataFrame, columns: list[str], confidence: float = 0.95) -> DataFrame:
     """Mean, confidence limits (Student's t) and standard error of each column, one row per column; null
     if the column holds a null."""
+    # all columns in one row of aggregates, then a row for each: nothing is multiplied before it is combined
+    figures = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp}
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    values = numbers.unpivot([], columns, "measure", "value")
-    stats = values.groupBy("measure").agg(
-        F.count("value").alias("n"),
-        F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
+    one = numbers.agg(
+        *[of(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, of in figures.items()],
+        *[F.count_if(F.col(c).isNull()).alias(f"nulls{i}") for i, c in enumerate(columns)],
     )
+    each = [
+        F.struct(F.lit(c).alias("measure"), F.col(f"nulls{i}").alias("nulls"), *[F.col(f"{k}{i}").alias(k) for k in figures])
+        for i, c in enumerate(columns)
+    ]
+    stats = one.select(F.inline(F.array(*each)))
     complete = F.col("nulls") == 0
     error = F.when(complete, F.try_divide(F.col("sd"), F.sqrt(F.col("n").cast("double"))))
     margin = F.col("std_error") * t_quantile(F.col("n") - 1, confidence)

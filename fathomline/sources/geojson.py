@@ -11,33 +11,50 @@ _POLYGON = "array<array<array<double>>>"
 _MULTIPOLYGON = "array<array<array<array<double>>>>"
 
 
-def feature(attributes: list[str], rings: str = "rings") -> Column:
-    """A feature as a JSON string: the attributes and the rings as one polygon."""
-    positions = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    polygon = F.struct(F.lit("Polygon").alias("type"), positions.alias("coordinates"))
-    return F.to_json(
-        F.struct(
-            F.lit("Feature").alias("type"),
-            F.when(F.col(rings).isNotNull(), polygon).alias("geometry"),
-            F.struct(*attributes).alias("properties"),
+GEOMETRY = ("rings", "parts")
+
+
+def _positions(rings: Column) -> Column:
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+
+
+def feature(attributes: list[str], rings: str = "rings", parts: str | None = None) -> Column:
+    """A feature as a JSON string: the attributes, and the geometry as text of its own type.
+
+    Without ``parts`` the rings are one polygon. With it, a zone of several parts is a MultiPolygon; a zone
+    without rings has a null geometry.
+    """
+    polygon = F.struct(F.lit("Polygon").alias("type"), F.to_json(_positions(F.col(rings))).alias("coordinates"))
+    whole = F.when(F.col(rings).isNotNull(), polygon)
+    if parts:
+        several = F.struct(
+            F.lit("MultiPolygon").alias("type"), F.to_json(F.transform(parts, _positions)).alias("coordinates")
         )
-    )
+        whole = F.when(F.size(parts) > 1, several).otherwise(whole)
+    geometry = F.when(
+        whole.isNotNull(),
+        F.concat(F.lit('{"type":"'), whole["type"], F.lit('","coordinates":'), whole["coordinates"], F.lit("}")),
+    ).otherwise("null")
+    properties = F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"})
+    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), properties, F.lit("}"))
 
 
 def write_layer(df: DataFrame, path: str, rings: str = "rings") -> None:
-    """Write a layer, replacing what is at ``path``."""
-    attributes = [c for c in df.columns if c != rings]
-    df.select(feature(attributes, rings).alias("value")).write.mode("overwrite").text(path)
+    """Write a layer, replacing what is at ``path``; a column ``parts`` keeps the parts of zones apart."""
+    attributes = [c for c in df.columns if c not in (rings, "parts")]
+    parts = "parts" if "parts" in df.columns else None
+    df.select(feature(attributes, rings, parts).alias("value")).write.mode("overwrite").text(path)
 
 
-def _rings(geometry: Column) -> Column:
-    """Rings of a polygon or multipolygon; the parts of a multipolygon are put into one list, as the
-    inside test works by parity over all rings."""
-    polygon = F.from_json(geometry["coordinates"], _POLYGON)
-    multi = F.flatten(F.from_json(geometry["coordinates"], _MULTIPOLYGON))
-    positions = F.when(geometry["type"] == "MultiPolygon", multi).otherwise(polygon)
+def _parts(geometry: Column) -> Column:
+    """The polygons of a geometry, each a list of rings."""
+    polygon = F.array(F.from_json(geometry["coordinates"], _POLYGON))
+    multi = F.from_json(geometry["coordinates"], _MULTIPOLYGON)
+    positions = F.when(geometry["type"] == "MultiPolygon", multi).when(geometry["type"].isNotNull(), polygon)
     as_point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    return F.transform(positions, lambda ring: F.transform(ring, as_point)).cast(RINGS)
+    return F.transform(
+        positions, lambda part: F.transform(part, lambda ring: F.transform(ring, as_point)).cast(RINGS)
+    )
 
 
 def _feature_type(properties: StructType) -> StructType:
@@ -48,19 +65,30 @@ def _feature_type(properties: StructType) -> StructType:
 
 def _layer(features: DataFrame, properties: StructType) -> DataFrame:
     attributes = [F.col(f"properties.`{name}`").alias(name) for name in properties.names]
-    return features.select(*attributes, _rings(F.col("geometry")).alias("rings"))
+    with_parts = features.select(*attributes, _parts(F.col("geometry")).alias("parts"))
+    # the inside test works by parity over all rings, so it needs no parts
+    return with_parts.select(*[f"`{n}`" for n in properties.names], F.flatten("parts").alias("rings"), "parts")
 
 
 def read_layer(spark: SparkSession, path: str, properties: StructType) -> DataFrame:
-    """Scan a layer of one feature per line: the declared attributes and ``rings``."""
+    """Scan a layer of one feature per line: the declared attributes, ``rings`` and ``parts`` (rings by part)."""
     return _layer(spark.read.schema(_feature_type(properties)).json(path), properties)
 
 
-def read_collection(spark: SparkSession, path: str, properties: StructType) -> DataFrame:
-    """Scan files that hold one FeatureCollection each. Such a file cannot be split; convert a large
-    one to ``write_layer`` form first."""
+def read_collection(spark: SparkSession, path: str | list[str], properties: StructType) -> DataFrame:
+    """Features of files that hold one FeatureCollection each.
+
+    A converter for files as they are published, into the form of ``write_layer``: such a file cannot be
+    split, so jobs scan what ``convert_collections`` has written.
+    """
     collection = StructType([StructField("features", ArrayType(StringType()))])
     rows = spark.read.schema(collection).option("multiLine", True).json(path)
     text = rows.select(F.explode("features").alias("text"))
     parsed = text.select(F.from_json("text", _feature_type(properties)).alias("f")).select("f.*")
     return _layer(parsed, properties)
+
+
+def convert_collections(spark: SparkSession, paths: str | list[str], properties: StructType, path: str) -> DataFrame:
+    """Turn FeatureCollection files, a task for each, into a layer of one feature per line and scan that."""
+    write_layer(read_collection(spark, paths, properties), path)
+    return read_layer(spark, path, properties)

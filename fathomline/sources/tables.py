@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SCAN_NODES = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"}
+_SCAN_NODES = {"Project", "Filter", "Relation", "LocalRelation"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,9 +50,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     For operators that read their input more than once and compare what they read: a sum of doubles may
     come out differently in its last digits when it is computed again.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
-    return df if nodes <= _SCAN_NODES else stage(df, name)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    lines = plan.toString().splitlines()
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in lines if line.strip()}
+    return df if plan.deterministic() and nodes <= _SCAN_NODES else stage(df, name)
 
 
 def tee_csv(df: DataFrame, path: str, name: str = "tee") -> DataFrame:
@@ -82,12 +83,12 @@ def replace_table(df: DataFrame, base: str) -> DataFrame:
     """
     spark = df.sparkSession
     df.write.mode("error").parquet(f"{base}/v{time.time_ns():020d}")
-    return current_table(spark, base)
+    return current_table(spark, base, df.schema)
 
 
-def current_table(spark: SparkSession, base: str) -> DataFrame:
-    """Scan the latest finished version of a table stored by ``replace_table``."""
+def current_table(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
+    """Scan the latest finished version of a table stored by ``replace_table``, under a declared schema."""
     found = _versions(spark, base)
     if not found:
         raise FileNotFoundError(f"no finished version below {base}")
-    return spark.read.parquet(found[-1])
+    return spark.read.schema(schema).parquet(found[-1])
