@@ -30,22 +30,26 @@ def _relinked(edges: DataFrame, smaller: bool) -> DataFrame:
     return moved.distinct() if smaller else moved
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether every node has one link and none links to a node that has one: the graph is stars only."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("linked")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("linked"))
+    )
+    held = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("linked").alias("linked"))
+    return held.where("links > 1 OR links = 1 AND linked = 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (a, b), component being the smallest node in reach.
 
     Null ends and loops are left out. Every step is written to the shared folder, so that a lost
-    executor costs a re-read; the loop ends when a step changes no edge.
+    executor costs a re-read; the loop ends when the graph consists of stars.
     """
     current = stage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         name,
     )
-    seen = None
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+    while not _finished(current):
         current = stage(_relinked(_relinked(current, smaller=False), smaller=True), name)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
