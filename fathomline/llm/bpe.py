@@ -18,6 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.minhash import slices
+from fathomline.llm.words import map_batches
 
 # Code points of a leaf, and tokens of a leaf when decoding.
 LEAF = 4096
@@ -139,13 +140,13 @@ def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str, id_column: str
     deeper tree, and only its windows are encoded more than once.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(_over(vocabulary, pattern, "ids", _encoded), "doc_id long, ids binary")
+    return rows.transform(map_batches, _over(vocabulary, pattern, "ids", _encoded), "doc_id long, ids binary")
 
 
 def decode(tokens: DataFrame, vocabulary: Broadcast, pattern: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(doc_id, decoded): the bytes of the tokens of each row; null ids decode to no bytes."""
     rows = tokens.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids"))
-    return rows.mapInArrow(_over(vocabulary, pattern, "decoded", _decoded), "doc_id long, decoded binary")
+    return rows.transform(map_batches, _over(vocabulary, pattern, "decoded", _decoded), "doc_id long, decoded binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFrame:
@@ -162,4 +163,4 @@ def round_trip(docs: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFram
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return rows.transform(map_batches, run, "doc_id long, ids binary, decoded binary")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import Words, mix, word_hashes
+from fathomline.llm.words import Words, map_batches, mix, word_hashes
 
 # Words of the windows that are hashed; an item has one at each of its words, a document at every second.
 WINDOW = 8
@@ -219,7 +219,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ok[[text for text, _ in find(batch.column(1), items)]] = False
             yield batch.select(["row"]).filter(pa.array(ok))
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
+    return rows.transform(map_batches, run, StructType([rows.schema["row"]])).select("row.*")
 
 
 def _lowered(column: str) -> Column:
@@ -243,4 +243,4 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return _matches(Items(**kept.value))(batches)
 
     columns = ("doc_id", "item_id", "edits", "item_words", "first_word", "end_word")
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return texts.transform(map_batches, run, ", ".join(f"{c} long" for c in columns))

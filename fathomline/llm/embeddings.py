@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.components import components
 from fathomline.llm.minhash import _with, slices
-from fathomline.llm.words import mix
+from fathomline.llm.words import map_batches, mix
 from fathomline.sources.tables import stage
 
 THRESHOLD = 0.93
@@ -232,7 +232,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    prepared = stage(rows.mapInArrow(_prepared, "vec_id long, label long, hi long, lo long, vector binary"), "vectors")
+    prepared = stage(rows.transform(map_batches, _prepared, "vec_id long, label long, hi long, lo long, vector binary"), "vectors")
     classes = (
         prepared.where("hi IS NOT NULL")
         .groupBy("label", "hi", "lo")
@@ -241,7 +241,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         .withColumn("node", F.coalesce("least", F.xxhash64("label", "hi", "lo")))
     )
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    classes = stage(classes.mapInArrow(_buckets, f"{kept}, keys array<long>, numbers binary"), "classes")
+    classes = stage(classes.transform(map_batches, _buckets, f"{kept}, keys array<long>, numbers binary"), "classes")
     spots = classes.select("node", F.posexplode("keys").alias("place", "key")).select(
         "node", "key",
         (F.col("place") % (1 + GUESTS) == 0).alias("home"),
@@ -276,7 +276,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     found = stage(
         dealt.repartition("key", "one", "two")
         .sortWithinPartitions("key", "one", "two")
-        .mapInArrow(_linked, "node long, n long, root long"),
+        .transform(map_batches, _linked, "node long, n long, root long"),
         "links",
     )
     counts = stage(found.groupBy("node").agg(F.sum("n").alias("n")), "counts")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import mix
+from fathomline.llm.words import map_batches, mix
 
 BUCKETS = 1 << 15
 LONGEST = 3
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column]) -> Model:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
     ).where(learn(F.col("doc_id"))).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counted = known.select("text").mapInArrow(_frequencies, "bucket long, documents long")
+    counted = known.select("text").transform(map_batches, _frequencies, "bucket long, documents long")
     # BUCKETS + 1 rows at most
     counts = {r.bucket: r.n for r in counted.groupBy("bucket").agg(F.sum("documents").alias("n")).collect()}
     frequency = np.zeros(BUCKETS)
@@ -181,7 +181,8 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column]) -> Model:
     for part in parts[1:]:
         drawn = drawn.unionByName(part)
     chosen = known.join(F.broadcast(drawn.withColumnRenamed("doc_id", "_doc").distinct()), F.col("doc_id") == F.col("_doc"))
-    rows = chosen.select("doc_id", "lang", "text").mapInArrow(
+    rows = chosen.select("doc_id", "lang", "text").transform(
+        map_batches,
         _vectors(idf), "doc_id long, lang string, at binary, x binary"
     ).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r["at"]), bytes(r.x)))
@@ -224,4 +225,4 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             )
 
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).transform(map_batches, run, schema)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.minhash import slices
+from fathomline.llm.words import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 # Kinds that only candidates have.
@@ -247,7 +248,8 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame) -> Model:
     """Train on the vote patterns of all texts; a corpus without candidates gives a model that adds nothing."""
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+    counts = docs.select(F.col("text").cast("string").alias("text")).transform(
+        map_batches,
         _count_patterns, "pattern array<long>, n long"
     )
     rows = counts.groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -282,7 +284,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "base", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, base {SPANS}, spans {SPANS}")
+    return rows.transform(map_batches, run, f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -300,7 +302,7 @@ def redact(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
             yield pa.record_batch(columns, names=names)
 
     rows = docs.withColumn(text_column, F.col(text_column).cast("string"))
-    return rows.mapInArrow(run, rows.schema)
+    return rows.transform(map_batches, run, rows.schema)
 
 
 def _redacted(text: str, model: Model) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
+from fathomline.llm.words import map_batches
 
 # Labelled documents of each class for the dictionaries, and as many for the calibration.
 SAMPLE = 1_500
@@ -119,14 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(sample), F.col("doc_id") == F.col("_doc")  # at most four samples of a few bytes a row
     )
-    rows = texts.where("use = 0").select("quality", "text").mapInArrow(_pieces, "quality int, piece binary").collect()
+    rows = texts.where("use = 0").select("quality", "text").transform(map_batches, _pieces, "quality int, piece binary").collect()
     pieces = {q: sorted(bytes(r.piece) for r in rows if r.quality == q) for q in (0, 1)}
     total, ones = known.agg(F.count("*"), F.sum("quality")).first()
     share = (ones + 1) / (total + 2) if total else 0.5
     if not pieces[0] or not pieces[1]:
         return Model(None, None, 0.0, float(np.log(share / (1 - share))))
     good, bad = _dictionary(pieces[1]), _dictionary(pieces[0])
-    rest = texts.where("use = 1").select("quality", "text").mapInArrow(
+    rest = texts.where("use = 1").select("quality", "text").transform(
+        map_batches,
         _differences(good, bad), "quality int, difference double"
     )
     found = sorted((r.difference, r.quality) for r in rest.collect())
@@ -146,6 +148,6 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     if model.good is None:
         found = rows.withColumn("difference", F.lit(0.0)).drop("_text")
     else:
-        found = rows.mapInArrow(_differences(model.good, model.bad), kept.add("difference", "double"))
+        found = rows.transform(map_batches, _differences(model.good, model.bad), kept.add("difference", "double"))
     z = F.col("difference") * model.slope + model.offset
     return found.select(*keep, (1 / (1 + F.exp(-z))).alias("score"))

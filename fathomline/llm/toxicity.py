@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import word_hashes
+from fathomline.llm.words import map_batches, word_hashes
 
 # Documents of the training sample; everything else of the learning side is only counted.
 POSITIVES = 3_000
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(sample), F.col("doc_id") == F.col("_doc")
     )
-    rows = texts.select("positive", "text").mapInArrow(_present, "positive boolean, words binary").collect()
+    rows = texts.select("positive", "text").transform(map_batches, _present, "positive boolean, words binary").collect()
     sets = [(r.positive, np.frombuffer(r.words, np.uint64)) for r in rows]
     order = sorted(range(len(sets)), key=lambda k: (not sets[k][0], len(sets[k][1]), bytes(rows[k].words[:64])))
     return train([sets[k][1] for k in order if sets[k][0]], [sets[k][1] for k in order if not sets[k][0]], prior)
@@ -184,4 +184,4 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     A null or empty text has no features and gets the score of the bias, the same for all of them.
     """
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(_scores(model), StructType([docs.schema[c] for c in keep]).add("score", "double"))
+    return rows.transform(map_batches, _scores(model), StructType([docs.schema[c] for c in keep]).add("score", "double"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathomline.llm.words import map_batches
 from fathomline.session import fresh_path
 from fathomline.sources.tables import stage
 
@@ -182,7 +183,7 @@ def write(pages: DataFrame, root: str | None = None) -> DataFrame:
     )
     archives = max(1, -(-total // ARCHIVE_BYTES))
     dealt = ready.repartitionByRange(archives, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return stage(dealt.mapInArrow(_writer(root), _COLUMNS), "archives")
+    return stage(dealt.transform(map_batches, _writer(root), _COLUMNS), "archives")
 
 
 class _Archive:
@@ -276,7 +277,7 @@ def look_up(archives: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     asked = wanted.select(capture_key(F.col("url").cast("string")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
-    routed = asked.distinct().mapInArrow(route, "archive string, key string, page_id long")
+    routed = asked.distinct().transform(map_batches, route, "archive string, key string, page_id long")
     # archives have about the same size, so their look-ups are spread evenly
     dealt = routed.repartition("archive").sortWithinPartitions("archive", "key", "page_id")
-    return dealt.mapInArrow(_looked_up, _FOUND)
+    return dealt.transform(map_batches, _looked_up, _FOUND)

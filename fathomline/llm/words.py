@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
+# Rows of an Arrow batch on their way to a task: texts of some kilobytes make a few megabytes.
+BATCH_ROWS = 512
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _LANE = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
+def map_batches(df: DataFrame, work: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with small batches.
+
+    The default of 10,000 rows holds a batch of texts several times over, outside of Spark's memory
+    management. The setting stays in the session, as it is read when the plan runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes half of the output bits."""
     x = x ^ (x >> np.uint64(30))
