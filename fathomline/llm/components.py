@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, functions as F
 from fathomline.sources.tables import stage
 
 
+# Tables of ids hold a small share of the bytes the shuffle partitions are made for, so several go to a task.
+NARROW = 16
+
+
+def stage_narrow(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for a table of a few numbers a row, in fewer tasks and files than the shuffle before it has."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.coalesce(max(8, partitions // NARROW)), name)
+
+
 def _relinked(edges: DataFrame, smaller: bool) -> DataFrame:
     """One star step over edges (u, v) with u > v."""
     both = edges if smaller else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -45,12 +55,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Null ends and loops are left out. Every step is written to the shared folder, so that a lost
     executor costs a re-read; the loop ends when the graph consists of stars.
     """
-    current = stage(
+    current = stage_narrow(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         name,
     )
     while not _finished(current):
-        current = stage(_relinked(_relinked(current, smaller=False), smaller=True), name)
+        current = stage_narrow(_relinked(_relinked(current, smaller=False), smaller=True), name)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

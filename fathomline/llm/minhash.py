@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.components import components
-from fathomline.llm.words import mix, shingle_hashes, word_hashes
+from fathomline.llm.components import components, stage_narrow
+from fathomline.llm.words import map_batches, mix, shingle_hashes, word_hashes
 from fathomline.sources.tables import stage
 
 SHINGLE = 5
@@ -238,7 +238,7 @@ def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) that agree in size and signature."""
     sized = _with(_with(pairs, "a", classes, na="n_shingles", ma="minima"), "b", classes, nb="n_shingles", mb="minima")
     sized = sized.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
-    return sized.select("a", "b", "ma", "mb").mapInArrow(_similar_signatures, "a long, b long")
+    return sized.select("a", "b", "ma", "mb").transform(map_batches, _similar_signatures, "a long, b long")
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, asking: DataFrame, members: DataFrame) -> DataFrame:
@@ -249,9 +249,9 @@ def _confirmed(docs: DataFrame, classes: DataFrame, asking: DataFrame, members:
     """
     per_target = members.groupBy("target").agg(F.greatest(F.ceil(F.sum("n_shingles") / PIECE_SHINGLES), F.ceil(F.count("*") / PIECE)).alias("pieces"))
     asked = asking.groupBy(F.col("target").alias("_t")).agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    plan = stage(per_target.join(asked, F.col("target") == F.col("_t")).select("_t", "pieces", "salts"), "blocks")
+    plan = stage_narrow(per_target.join(asked, F.col("target") == F.col("_t")).select("_t", "pieces", "salts"), "blocks")
 
-    wanted = stage(
+    wanted = stage_narrow(
         members.join(plan, F.col("target") == F.col("_t"), "left_semi")
         .select("node")
         .unionByName(asking.select("node"))
@@ -259,7 +259,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, asking: DataFrame, members:
         "wanted",
     )
     texts = docs.join(wanted.withColumnRenamed("node", "_want"), F.col("doc_id") == F.col("_want"), "left_semi")
-    sets = texts.mapInArrow(_sets, _SETS).groupBy("doc_id", "hi", "lo").agg(F.first("shingles").alias("shingles"))
+    sets = texts.transform(map_batches, _sets, _SETS).groupBy("doc_id", "hi", "lo").agg(F.first("shingles").alias("shingles"))
     # a node stands for the copies of one set; rows that only share its id are not it
     own = classes.select("hi", "lo", "node").join(
         sets.withColumnsRenamed({"hi": "_hi", "lo": "_lo"}),
@@ -280,7 +280,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, asking: DataFrame, members:
     rows = dealt(members.select("target", "node"), 0).unionByName(dealt(asking, 1))
     block = ["target", "piece", "salt"]
     return (
-        rows.repartition(*block).sortWithinPartitions(*block, "asks").mapInArrow(_linked_with_members, "a long, b long")
+        rows.repartition(*block).sortWithinPartitions(*block, "asks").transform(map_batches, _linked_with_members, "a long, b long")
     )
 
 
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shuffled stays in proportion to the documents.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    prints = stage(docs.mapInArrow(_prints, _PRINTS), "prints")
+    prints = stage(docs.transform(map_batches, _prints, _PRINTS), "prints")
     classes = stage(
         prints.where("hi IS NOT NULL")
         .groupBy("hi", "lo")
@@ -335,8 +335,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     # what is left: documents and other components that meet in a bucket
     labelled = _with(classes.select("node", "n_shingles"), "node", found, "left", target="component")
-    labelled = stage(labelled.withColumn("target", F.coalesce("target", "node")), "labelled")
-    asking = stage(_remaining(classes, shared, labelled), "asking")
+    labelled = stage_narrow(labelled.withColumn("target", F.coalesce("target", "node")), "labelled")
+    asking = stage_narrow(_remaining(classes, shared, labelled), "asking")
     edges = _confirmed(docs, classes, asking, labelled)
     old = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(edges.unionByName(old))
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def _remaining(classes: DataFrame, shared: DataFrame, labelled: DataFrame) -> DataFrame:
     """(node, target) to test: documents and unlike components inside the buckets that still hold several."""
-    inside = stage(_with(shared.select("key", "node"), "node", labelled, component="target"), "inside")
+    inside = stage_narrow(_with(shared.select("key", "node"), "node", labelled, component="target"), "inside")
     held = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
     live = (
         held.groupBy("key")
@@ -368,9 +368,9 @@ def _remaining(classes: DataFrame, shared: DataFrame, labelled: DataFrame) -> Da
             F.ceil(F.col("major.n") / PIECE).alias("majors"),
         )
     )
-    rows = inside.join(stage(live, "live"), F.col("key") == F.col("_key")).drop("_key")
+    rows = inside.join(stage_narrow(live, "live"), F.col("key") == F.col("_key")).drop("_key")
     rows = _with(rows, "node", classes, n_shingles="n_shingles", minima="minima")
-    weights = stage(labelled.groupBy("target").agg(F.count("*").alias("weight")), "weights")
+    weights = stage_narrow(labelled.groupBy("target").agg(F.count("*").alias("weight")), "weights")
     rows = _with(rows, "component", weights.withColumnRenamed("target", "node"), weight="weight")
     # The bucket's largest component is cut into pieces of its own, numbered after the others: they meet
     # the pieces of the rest but not each other, so a row of a large group is sent once.
@@ -384,4 +384,4 @@ def _remaining(classes: DataFrame, shared: DataFrame, labelled: DataFrame) -> Da
     rows = rows.withColumns({"one": F.least("piece", "other"), "two": F.greatest("piece", "other")})
     rows = rows.select("key", "one", "two", "piece", "node", "component", "weight", "n_shingles", "minima")
     dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return dealt.mapInArrow(_bucket_pairs, "node long, target long").distinct()
+    return dealt.transform(map_batches, _bucket_pairs, "node long, target long").distinct()
