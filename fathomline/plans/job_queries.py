@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from fathomline.functions.student_t import TABLE_SIZE, expansion_coefficients, t_table
 from fathomline.operators.nested import all_values, nest, nest_tables, unnest
 from fathomline.operators.relational import repeated_rows, union_all
-from fathomline.operators.spatial import zone_cover
+from fathomline.operators.spatial import points_in_cover, zone_cover
 from fathomline.plans import layers, native, pathogens, production, reports, scores, traits
 from fathomline.plans.registry import register, rounded, rounded_sql
+from fathomline.plans.scores import zone_production_scores
 from fathomline.plans.star_tables import KEYS, SYNONYMS, TAXON_GROUPS, UNIT, StarTables
 from fathomline.session import fresh_path
 from fathomline.sources.occurrences import load_occurrences
@@ -136,6 +137,19 @@ def _(t):
     return _presence(t)
 
 
+_PER_PAIR = f"""SELECT zone, species, count(*) AS n_points FROM fx_occurrence o JOIN (
+      {INSIDE_SQL.format(id="species", points="fx_occurrence", edges="fx_shape").replace("SELECT p.species, e.zone", "SELECT p.species, p.lon, p.lat, e.zone")}
+    ) i USING (species, lon, lat) GROUP BY zone, species"""
+
+
+@register("x07_points_per_pair", _PER_PAIR)
+def _(t):
+    """Points of each species in each zone; each species keeps to a part of the globe, so most pairs are absent."""
+    cover = stage(zone_cover(t.zone_shapes, cell=CELL), "cover")
+    hits = points_in_cover(t.occurrences, cover, CELL)
+    return hits.groupBy("zone", "species").agg(F.count(F.lit(1)).alias("n_points"))
+
+
 @register(
     "x08_native_table",
     f"""SELECT zone, species, 'Native' AS status FROM (
@@ -148,6 +162,7 @@ def _(t):
     return native.native_table(_presence(t), manual, "Brand#9")
 
 
+_PROD = ("prod_total", "prod_native", "prod_introduced")
 _STATUS_COLUMNS = "species, country, area, zone, status, introduced, native, n_zones"
 
 
@@ -160,6 +175,45 @@ def _(t):
     return rounded(native.status_label(apportioned, t.native), "mean_prod", "zone_prod")
 
 
+_CHAIN = f"""
+    SELECT a.*, n.zone IS NOT NULL AS is_native FROM fx_apportioned a LEFT JOIN (
+      SELECT DISTINCT zone, species FROM (SELECT zone, species FROM ({_PRESENCE})
+        UNION ALL SELECT 'NATION_3', unnest(['Brand#26', 'Brand#27', 'Brand#28'])) WHERE species <> 'Brand#9'
+    ) n ON a.species = n.species AND a.zone = n.zone"""
+
+
+def _status_from_points(t: StarTables) -> DataFrame:
+    """Points to zones to native table to labelled production, as one chain."""
+    manual = native.manual_native(t.spark, "NATION_3", ["Brand#26", "Brand#27", "Brand#28"])
+    known = stage(native.native_table(_presence(t), manual, "Brand#9").select("zone", "species").distinct(), "native")
+    return stage(native.status_label(production.apportion_zones(t.unit_zone, UNIT), known), "status-points")
+
+
+@register(
+    "x09_status_from_points",
+    f"""SELECT species, country, area, zone, CASE WHEN is_native THEN 'Native' ELSE 'Introduced' END AS status,
+               CASE WHEN is_native THEN 0 ELSE 1 END AS introduced, CASE WHEN is_native THEN 1 ELSE 0 END AS native,
+               n_zones, {rounded_sql("mean_prod", "zone_prod")} FROM ({_CHAIN})""",
+)
+def _(t):
+    return rounded(_status_from_points(t), "mean_prod", "zone_prod")
+
+
+@register(
+    "x11_scores_from_points",
+    f"""SELECT zone, count(DISTINCT species) AS n_total,
+               count(DISTINCT CASE WHEN NOT is_native THEN species END) AS n_introduced,
+               count(DISTINCT CASE WHEN is_native THEN species END) AS n_native,
+               round(sum(zone_prod), 6) AS prod_total,
+               round(coalesce(sum(CASE WHEN is_native THEN zone_prod END), 0), 6) AS prod_native,
+               round(coalesce(sum(CASE WHEN NOT is_native THEN zone_prod END), 0), 6) AS prod_introduced
+        FROM ({_CHAIN}) GROUP BY zone""",
+)
+def _(t):
+    scores = zone_production_scores(_status_from_points(t)).drop("genetic_score")
+    return rounded(scores, *_PROD)
+
+
 @register(
     "x10_status_with_hierarchy",
     f"""SELECT h.realm, h.province, s.zone, species, country, {rounded_sql('mean_prod', 'zone_prod')}, n_zones, status
@@ -170,7 +224,6 @@ def _(t):
     return rounded(placed, "mean_prod", "zone_prod")
 
 
-_PROD = ("prod_total", "prod_native", "prod_introduced")
 
 
 @register(

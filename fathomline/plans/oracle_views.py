@@ -47,7 +47,8 @@ VIEWS = {
         SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings""",
     "fx_occurrence": """
         SELECT l_linenumber, l_orderkey, p.p_brand AS species,
-               l_extendedprice % 360 - 180 AS lon, (l_extendedprice * 7) % 160 - 80 AS lat
+               l_extendedprice % 90 + (67.5::DOUBLE * (CAST(replace(p.p_brand, 'Brand#', '') AS INTEGER) % 5) - 180) AS lon,
+               (l_extendedprice * 7) % 160 - 80 AS lat
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
     "fx_unit": """
         SELECT species, country, area, avg(quantity) AS mean_prod

@@ -215,14 +215,15 @@ class StarTables:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        """One occurrence point per line, spread over the globe by its price."""
+        """One occurrence point per line, spread by its price over a quarter of the globe that its species has."""
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("species"))
         price = F.col("l_extendedprice")
+        west = F.lit(67.5) * (F.replace("species", F.lit("Brand#"), F.lit("")).cast("int") % 5) - 180
         return (
             self.table("lineitem")
-            .select("l_partkey", (price % 360 - 180).alias("lon"), ((price * 7) % 160 - 80).alias("lat"))
+            .select("l_partkey", (price % 90).alias("east"), ((price * 7) % 160 - 80).alias("lat"))
             .join(part, "l_partkey")
-            .select("species", "lon", "lat")
+            .select("species", (F.col("east") + west).alias("lon"), "lat")
         )
 
     # pathogens and traits -------------------------------------------------------------------------
