@@ -121,7 +121,9 @@ INSIDE_SQL = """
                AND p.lon BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
                AND p.lat BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))"""
 
-_PRESENCE = f"""SELECT DISTINCT zone, species FROM ({INSIDE_SQL.format(id='species', points='fx_occurrence', edges='fx_shape')})"""
+# each place once: the parity above counts the edges of one point
+_POINTS = "(SELECT DISTINCT species, lon, lat FROM fx_occurrence)"
+_PRESENCE = f"""SELECT DISTINCT zone, species FROM ({INSIDE_SQL.format(id='species', points=_POINTS, edges='fx_shape')})"""
 
 
 def _presence(t: StarTables) -> DataFrame:
@@ -138,7 +140,7 @@ def _(t):
 
 
 _PER_PAIR = f"""SELECT zone, species, count(*) AS n_points FROM fx_occurrence o JOIN (
-      {INSIDE_SQL.format(id="species", points="fx_occurrence", edges="fx_shape").replace("SELECT p.species, e.zone", "SELECT p.species, p.lon, p.lat, e.zone")}
+      {INSIDE_SQL.format(id="species", points=_POINTS, edges="fx_shape").replace("SELECT p.species, e.zone", "SELECT p.species, p.lon, p.lat, e.zone")}
     ) i USING (species, lon, lat) GROUP BY zone, species"""
 
 
