@@ -278,6 +278,7 @@ def look_up(archives: DataFrame, wanted: DataFrame) -> DataFrame:
 
     asked = wanted.select(capture_key(F.col("url").cast("string")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
     routed = asked.distinct().transform(map_batches, route, "archive string, key string, page_id long")
-    # archives have about the same size, so their look-ups are spread evenly
-    dealt = routed.repartition("archive").sortWithinPartitions("archive", "key", "page_id")
+    # A fixed number: the rows are small but the reads behind them are not, so sizes must not merge them.
+    # Archives have about the same size, so their look-ups are spread evenly.
+    dealt = routed.repartition(max(1, len(rows)), "archive").sortWithinPartitions("archive", "key", "page_id")
     return dealt.transform(map_batches, _looked_up, _FOUND)
