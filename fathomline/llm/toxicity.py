@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import map_batches, word_hashes
+from fathomline.llm.words import map_batches, mix, word_hashes
 
 # Documents of the training sample; everything else of the learning side is only counted.
 POSITIVES = 3_000
@@ -32,6 +32,7 @@ LEAST_POSITIVES = 3
 LIFT = 3.0
 FEATURES = 4_096
 EPOCHS = 400
+COPY_GROUPS, COPY_MINIMA = 12, 4
 _RATE = 0.05
 _RIDGE = 3e-4
 _LASSO = 1e-3
@@ -65,6 +66,28 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(words, pa.binary())], names=["positive", "words"])
 
 
+def _without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """The documents without near copies of earlier ones, so that the words of a copied text count once.
+
+    Documents that agree on a group of minima and share half of their words are copies.
+    """
+    seeds = mix(np.arange(1, COPY_GROUPS * COPY_MINIMA + 1, dtype=np.uint64))
+    kept: list[np.ndarray] = []
+    known: dict[tuple, list[int]] = {}
+    for own in docs:
+        if not len(own):
+            continue
+        minima = mix(own[None, :] ^ seeds[:, None]).min(axis=1).reshape(COPY_GROUPS, COPY_MINIMA)
+        keys = [(k, *row) for k, row in enumerate(minima.tolist())]
+        met = {j for key in keys for j in known.get(key, ())}
+        if any(3 * len(np.intersect1d(own, kept[j], assume_unique=True)) >= len(own) + len(kept[j]) for j in met):
+            continue
+        for key in keys:
+            known.setdefault(key, []).append(len(kept))
+        kept.append(own)
+    return kept
+
+
 def _features(positives: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Words that tell positives apart, by the difference of their document shares."""
     words, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *positives]), return_counts=True)
@@ -99,7 +122,8 @@ def _rows(docs: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Fit the classifier; each document is its sorted distinct word hashes."""
-    words = _features(positives, unlabelled)
+    positives = _without_copies(positives)
+    words = _features(positives, unlabelled) if positives else np.zeros(0, np.uint64)
     if not len(words) or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
     n_p, n_u = len(positives), len(unlabelled)
