@@ -5,11 +5,13 @@ walk reads the symbol under it, writes it out and steps on or stays as a random
 says, so that windows at a small edit distance agree in most places of the output. A hash function of the
 Hamming LSH samples a few places of a walk; several walks with several samples repeat it. An item-sized
 stretch of the document around each collision is then aligned with the item, and only true edit distances
-count.
+count. Short items, for which a window is too coarse, are cut into one piece more than they may have edits:
+one piece at least is unchanged in every match, so looking up all pieces misses none.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import Words, map_batches, mix, word_hashes
+from fathomline.llm.words import Words, hash_runs, map_batches, mix, shingle_hashes, text_bytes
 
 # Words of the windows that are hashed; an item has one at each of its words, a document at every second.
 WINDOW = 8
@@ -29,8 +31,9 @@ STRIDE = 2
 WALKS = 8
 STEPS = 2 * WINDOW
 SAMPLED = 6
-# Items of fewer words are too short to be evidence and are never reported.
-LEAST_WORDS = 10
+# Items of fewer words are looked up by pieces, of at most so many words.
+PIECED = 10
+PIECE = 3
 # Edits (words replaced, left out or put in) that still make a match, as a share of the item's words.
 EDITS = 0.25
 # Bytes of item text that may be sent to every task.
@@ -38,11 +41,77 @@ ITEM_BYTES = 64 * 1024**2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 
-# letters, digits and the bytes of non-ASCII characters; texts are lower-cased before
+# ASCII letters and digits; texts are lower-cased before
 WORD_BYTES = np.zeros(256, dtype=np.uint8)
-WORD_BYTES[0x80:] = np.arange(0x80, 0x100)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
     WORD_BYTES[_c] = _c
+# What a character is to words: a separator, part of a word, a word of its own, or a mark that goes with
+# the character before it.
+_APART, _INSIDE, _ALONE, _MARK = range(4)
+# Scripts written without blanks between words: Thai, Lao, Myanmar, Khmer, Tai Le to Tai Tham, Balinese,
+# kana and bopomofo, Han, Yi, Javanese, Myanmar extended, Tai Viet, half-width kana, Han of the other planes.
+_UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48F), (0xA980, 0xA9DF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16F00, 0x18DFF), (0x1AFF0, 0x1B2FF),
+    (0x20000, 0x3FFFF),
+]
+
+
+def character_classes() -> np.ndarray:
+    """The class of every code point: letters and digits make words, in unspaced scripts each letter one."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for code in range(0x110000):
+        kind = unicodedata.category(chr(code))
+        if kind[0] in "LN":
+            out[code] = _INSIDE
+        elif kind in ("Mn", "Mc"):
+            out[code] = _MARK
+    for first, last in _UNSPACED:
+        part = out[first : last + 1]
+        letter = [unicodedata.category(chr(c)) != "Nd" for c in range(first, last + 1)]
+        part[(part == _INSIDE) & letter] = _ALONE
+    # variation selectors only say how the character before them looks
+    out[0xFE00:0xFE10] = _APART
+    out[0xE0100:0xE01F0] = _APART
+    return out
+
+
+def split_words(column: pa.Array, classes: np.ndarray) -> Words:
+    """The words of lower-cased texts, by the classes of their characters."""
+    data, bounds = text_bytes(column)
+    size = len(data)
+    kind = (WORD_BYTES[data] != 0).astype(np.uint8)
+    lead = np.ones(size, dtype=bool)
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        lead[(data & 0xC0) == 0x80] = False
+        follow = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32) & 0x3F
+        head = data[wide]
+        length = 2 + (head >= 0xE0) + (head >= 0xF0)
+        code = head & np.array([0, 0, 0x1F, 0x0F, 0x07], dtype=np.uint32)[length]
+        for step in (1, 2, 3):
+            code = np.where(length > step, code << 6 | follow[wide + step], code)
+        found = classes[np.minimum(code, 0x10FFFF)]
+        kind[wide] = found
+        for step in (1, 2, 3):
+            on = (length > step) & (wide + step < size)
+            kind[wide[on] + step] = found[on]
+    mark = kind == _MARK
+    if mark.any():
+        at = np.flatnonzero(mark)
+        before = np.maximum.accumulate(np.where(mark, -1, np.arange(size)))[at]
+        own = bounds[np.searchsorted(bounds, at, side="right") - 1]
+        kind[at] = np.where(before >= own, kind[before], _APART)
+    begins = kind != _APART
+    begins[1:] &= (kind[1:] != kind[:-1]) | ((kind[1:] == _ALONE) & lead[1:] & ~mark[1:])
+    cut = bounds[1:-1]
+    cut = cut[(cut > 0) & (cut < size)]
+    begins[cut] = kind[cut] != _APART
+    stops = kind != _APART
+    stops[:-1] &= begins[1:] | (kind[1:] == _APART)
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return Words(hash_runs(data, starts, ends), np.searchsorted(starts, bounds).astype(np.int64), starts, ends, data)
 
 
 def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
@@ -68,7 +137,11 @@ def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """The benchmark: words of each item, and per walk its sorted keys with the item and offset of each."""
+    """The benchmark: words of each item, and per walk its sorted keys with the item and offset of each.
+
+    ``pieces`` has the same for each width of the pieces of short items, as (width, keys, owners, offsets);
+    ``classes`` are those of all characters.
+    """
 
     ids: list[int]
     words: list[np.ndarray]
@@ -77,6 +150,8 @@ class Items:
     offsets: list[np.ndarray]
     filters: list[np.ndarray]
     distinct: list[frozenset]
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    classes: np.ndarray
 
 
 def _padded(hashes: np.ndarray) -> np.ndarray:
@@ -84,18 +159,20 @@ def _padded(hashes: np.ndarray) -> np.ndarray:
 
 
 def prepare(ids: list[int], texts: list[str]) -> Items:
-    """Hash the windows of all items that are long enough."""
-    split = word_hashes(pa.array([t.lower() for t in texts], pa.string()), WORD_BYTES)
+    """Hash the windows of long items and the pieces of short ones; an item without words is none."""
+    classes = character_classes()
+    split = split_words(pa.array([t.lower() for t in texts], pa.string()), classes)
     words, kept = [], []
     for k, item in enumerate(ids):
         own = split.hashes[split.first[k] : split.first[k + 1]]
-        if len(own) >= LEAST_WORDS:
+        if len(own):
             words.append(own), kept.append(item)
-    owner = np.concatenate([np.full(max(0, len(w) - WINDOW + 1), k) for k, w in enumerate(words)] or [np.zeros(0, int)])
-    offset = np.concatenate([np.arange(max(0, len(w) - WINDOW + 1)) for w in words] or [np.zeros(0, int)])
+    windows = [len(w) - WINDOW + 1 if len(w) >= PIECED else 0 for w in words]
+    owner = np.concatenate([np.full(n, k) for k, n in enumerate(windows)] or [np.zeros(0, int)])
+    offset = np.concatenate([np.arange(n) for n in windows] or [np.zeros(0, int)])
     base = np.cumsum([0] + [len(w) for w in words])[:-1]
     symbols = _padded(np.concatenate(words) if words else np.zeros(0, np.uint64))
-    out = Items(kept, words, [], [], [], [], [frozenset(w.tolist()) for w in words])
+    out = Items(kept, words, [], [], [], [], [frozenset(w.tolist()) for w in words], _pieces(words), classes)
     for walk in range(WALKS):
         keys = walk_keys(symbols, (base[owner] + offset).astype(np.int64), walk) if len(owner) else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -106,6 +183,25 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
     return out
 
 
+def _pieces(words: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The pieces of short items by width: one more than the item may have edits, so one of them is unchanged."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for k, own in enumerate(words):
+        if len(own) < PIECED:
+            parts = 1 + int(EDITS * len(own))
+            for part in range(parts):
+                begin, end = part * len(own) // parts, (part + 1) * len(own) // parts
+                width = min(PIECE, end - begin)
+                found.setdefault(width, []).append((shingle_hashes(own[begin : begin + width], width)[0], k, begin))
+    out = []
+    for width, rows in sorted(found.items()):
+        keys, owners, offsets = zip(*rows)
+        keys = np.array(keys, dtype=np.uint64)
+        order = np.argsort(keys, kind="stable")
+        out.append((width, keys[order], np.array(owners)[order], np.array(offsets)[order]))
+    return out
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least word edits between ``item`` and any stretch of ``text``: (edits, begin, end) of the best stretch."""
     n = len(text)
@@ -135,24 +231,31 @@ def _collisions(words: Words, items: Items) -> np.ndarray:
         return np.zeros((0, 3), dtype=np.int64)
     symbols = _padded(words.hashes)
     owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    found = [np.zeros((0, 3), dtype=np.int64)]
+
+    def look_up(keys, at, item_keys, owners, offsets):
+        low = np.searchsorted(item_keys, keys)
+        high = np.searchsorted(item_keys, keys, side="right")
+        count = high - low
+        entry = np.repeat(high - np.cumsum(count), count) + np.arange(count.sum())
+        place = np.repeat(at, count)
+        shift = place - words.first[owner[place]] - offsets[entry]
+        found.append(np.stack([owner[place], owners[entry], shift], axis=1))
+
     at = np.flatnonzero((np.arange(total) - words.first[owner]) % STRIDE == 0)
-    found = []
-    for walk in range(WALKS):
+    for walk in range(WALKS if len(items.keys[0]) else 0):
         keys = walk_keys(symbols, at, walk)
         likely = np.flatnonzero(items.filters[walk][(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(items.keys[walk], keys[likely])
-        high = np.searchsorted(items.keys[walk], keys[likely], side="right")
-        count = high - low
-        entry = np.repeat(high - np.cumsum(count), count) + np.arange(count.sum())
-        place = np.repeat(at[likely], count)
-        shift = place - words.first[owner[place]] - items.offsets[walk][entry]
-        found.append(np.stack([owner[place], items.owners[walk][entry], shift], axis=1))
+        look_up(keys[likely], at[likely], items.keys[walk], items.owners[walk], items.offsets[walk])
+    for width, *pieces in items.pieces:
+        at = np.flatnonzero(np.arange(total) + width <= words.first[owner + 1])
+        look_up(shingle_hashes(symbols[: total + width - 1], width)[at], at, *pieces)
     return np.unique(np.concatenate(found), axis=0)
 
 
 def find(texts: pa.Array, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(edits, first word, end word) of the best stretch for each pair (text, item) that matches."""
-    words = word_hashes(texts, WORD_BYTES)
+    words = split_words(texts, items.classes)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     tried: dict[tuple[int, int], int] = {}
     for text, item, shift in _collisions(words, items).tolist():
@@ -161,6 +264,8 @@ def find(texts: pa.Array, items: Items) -> dict[tuple[int, int], tuple[int, int,
         # shifts that fall into the stretch aligned last need no alignment of their own
         if (text, item) in tried and shift <= tried[text, item]:
             continue
+        if best.get((text, item), (1,))[0] == 0:
+            continue
         first, last = words.first[text], words.first[text + 1]
         begin = max(first, first + shift - allowed)
         stretch = words.hashes[begin : min(last, first + shift + len(own) + 2 * allowed)]
@@ -230,10 +335,11 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_words, first_word, end_word): benchmark items that documents contain.
 
     An item counts as contained when some stretch of the document is at most a quarter of the item's
-    words away from it in word edits; letters are lower-cased and everything but letters and digits only
-    separates words. Each pair of a document row and an item is reported once, with its best stretch
-    (word positions, end exclusive). Items of fewer than ten words, null texts and documents without a
-    match give no row; a repeated document row repeats its rows, a null doc_id stays null, other columns
+    words away from it in word edits; letters are lower-cased and everything but Unicode letters (with
+    their marks) and digits only separates words; each letter of a script written without blanks is a
+    word. Each pair of a document row and an item is reported once, with its best stretch
+    (word positions, end exclusive). Items without words, null texts and documents without a match
+    give no row; a repeated document row repeats its rows, a null doc_id stays null, other columns
     are ignored. The benchmark is hashed once and sent to every task; its size is checked.
     """
     kept = benchmark_items(benchmark)

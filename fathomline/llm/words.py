@@ -85,6 +85,11 @@ def word_hashes(column: pa.Array, table: np.ndarray) -> Words:
     stops[cut - 1] = inside[1:-1][cut - 1]
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(stops) + 1
+    return Words(hash_runs(mapped, starts, ends), np.searchsorted(starts, bounds).astype(np.int64), starts, ends, data)
+
+
+def hash_runs(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs ``mapped[starts:ends]``."""
     padded = np.zeros(len(mapped) + 8, dtype=np.uint8)
     padded[: len(mapped)] = mapped
     lanes = np.ndarray(shape=(len(mapped) + 1,), dtype="<u8", buffer=padded, strides=(1,))
@@ -100,7 +105,7 @@ def word_hashes(column: pa.Array, table: np.ndarray) -> Words:
         more = np.flatnonzero(left > 8)
         alive = more if alive is None else alive[more]
         at, left = at[more] + 8, left[more] - 8
-    return Words(hashes, np.searchsorted(starts, bounds).astype(np.int64), starts, ends, data)
+    return hashes
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -161,6 +161,52 @@ def test_passages_with_edits_are_found(spark):
     assert decontamination.passages(df, bench.limit(0)).count() == 0
 
 
+def _found(docs, items):
+    prepared = decontamination.prepare(list(range(len(items))), items)
+    return {k: v[0] for k, v in decontamination.find(pa.array([d.lower() for d in docs], pa.string()), prepared).items()}
+
+
+def test_words_are_unicode_letters_and_digits():
+    texts = [
+        "don\u2019t\u00a0stop \u2014 \u201cnow\u201d\u3002", "don't stop - now.", "日本語は、ok2 カー", "ภาษาไทย ๑๒", "cafe\u0301 \u2764\ufe0f \u0301x",
+        "\u0301", None, "\U00020000\U00020001 हिन्दी ñé", "é", "é",
+    ]
+    split = decontamination.split_words(pa.array(texts, pa.string()), decontamination.character_classes())
+    words = [bytes(split.data[a:b]).decode() for a, b in zip(split.starts, split.ends)]
+    own = [words[a:b] for a, b in zip(split.first[:-1], split.first[1:])]
+    assert own == [
+        ["don", "t", "stop", "now"], ["don", "t", "stop", "now"], ["日", "本", "語", "は", "ok2", "カ", "ー"],
+        ["ภ", "า", "ษ", "า", "ไ", "ท", "ย", "๑๒"], ["cafe\u0301", "x"], [], [], ["\U00020000", "\U00020001", "हिन्दी", "ñé"], ["é"], ["é"],
+    ]
+    assert split.hashes[:4].tolist() == split.hashes[4:8].tolist()
+
+
+def test_short_items_and_unspaced_scripts_are_found():
+    short = ["alpha", "alpha beta", "one two three", "a b c d", "k1 k2 k3 k4 k5 k6 k7 k8 k9"]
+    got = _found(["x " + t + " y" for t in short] + ["one two", "three", "a b d", "a q b c d", "k1 q k3 k4 k5 k6 q k8 k9"], short)
+    assert {(k, k): 0 for k in range(5)}.items() <= got.items()
+    assert set(got) == {(k, k) for k in range(5)} | {(1, 0), (7, 3), (8, 3), (9, 4)}
+    assert (got[7, 3], got[8, 3], got[9, 4]) == (1, 1, 2)
+    chinese = "床前明月光疑是地上霜举头望明月低头思故乡"
+    assert _found(["古诗：" + chinese[:10] + "，" + chinese[10:] + "。", "古诗"], [chinese]) == {(0, 0): 0}
+    quoted = "He said that every one of them would be there at noon or so"
+    glued = "he\u00a0said\u2014\u201cthat every\u201d one\u2019of\u00a0them would\u2014be there\u00a0at\u2014noon or\u00a0so"
+    assert _found([glued], [quoted]) == {(0, 0): 0}
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(4)
+    items = list(dict.fromkeys(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(150)))
+    docs = [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            edits = _distance(item.split(), doc.split())
+            if edits <= len(item.split()) // 4:
+                want[d, i] = edits
+    assert _found(docs, items) == want
+
+
 def test_chat_round_trip_and_escapes(spark):
     rng = random.Random(0)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "/s>", "[", "ok", " [/INST]", "\n", "é", "<<SYS>>", "<</SYS>>", "$1"]
