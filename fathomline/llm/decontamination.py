@@ -24,15 +24,15 @@ from pyspark.sql.types import StructType
 from fathomline.llm.minhash import slices
 from fathomline.llm.words import Words, hash_runs, map_batches, mix, shingle_hashes, text_bytes
 
-# Words of the windows that are hashed; an item has one at each of its words, a document at every second.
+# Words of the windows that are hashed; items and documents have one at each of their words.
 WINDOW = 8
-STRIDE = 2
 # Walks, steps of a walk, and places sampled from one.
-WALKS = 8
+WALKS = 12
 STEPS = 2 * WINDOW
 SAMPLED = 6
+LEAST_SAMPLED = 3
 # Items of fewer words are looked up by pieces, of at most so many words.
-PIECED = 10
+PIECED = 32
 PIECE = 3
 # Edits (words replaced, left out or put in) that still make a match, as a share of the item's words.
 EDITS = 0.25
@@ -117,22 +117,28 @@ def split_words(column: pa.Array, classes: np.ndarray) -> Words:
 def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
     """LSH key of the windows of ``symbols`` that begin at ``at``, for one walk.
 
-    ``symbols`` must go on for STEPS entries after the last beginning.
+    A walk never leaves a zero, so the zero after a text keeps it from the next one. A walk that
+    samples fewer than LEAST_SAMPLED different words says too little (it stays on a common word), its key is 0.
     """
     rng = np.random.default_rng(1000 + walk)
     places = set(rng.choice(STEPS, SAMPLED, replace=False).tolist())
     masks = rng.integers(0, 64, STEPS)
+    told, before = np.zeros(len(at), dtype=np.int8), np.int64(-1)
     here, key = at.astype(np.int64), np.full(len(at), np.uint64(walk + 1))
     for step in range(STEPS):
         symbol = symbols[here]
         if step in places:
             key *= _GOLDEN
             key ^= symbol
+            told += (here != before) & (symbol != 0)
+            before = here.copy()
         # the random bit of this step and symbol: one of the 64 mixed bits of the symbol
         symbol >>= np.uint64(masks[step])
         symbol &= np.uint64(1)
         here += symbol.view(np.int64)
-    return mix(key)
+    key = mix(key)
+    key[told < LEAST_SAMPLED] = 0
+    return key
 
 
 @dataclass
@@ -154,8 +160,12 @@ class Items:
     classes: np.ndarray
 
 
-def _padded(hashes: np.ndarray) -> np.ndarray:
-    return np.append(hashes, np.zeros(STEPS + 1, dtype=np.uint64))
+def _apart(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols with a zero after each text, and the place of each word among them."""
+    place = np.arange(len(hashes)) + owner
+    symbols = np.zeros(place[-1] + 2 if len(place) else 1, dtype=np.uint64)
+    symbols[place] = np.maximum(hashes, np.uint64(1))
+    return symbols, place
 
 
 def prepare(ids: list[int], texts: list[str]) -> Items:
@@ -171,11 +181,13 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
     owner = np.concatenate([np.full(n, k) for k, n in enumerate(windows)] or [np.zeros(0, int)])
     offset = np.concatenate([np.arange(n) for n in windows] or [np.zeros(0, int)])
     base = np.cumsum([0] + [len(w) for w in words])[:-1]
-    symbols = _padded(np.concatenate(words) if words else np.zeros(0, np.uint64))
+    whose = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    symbols, place = _apart(np.concatenate(words) if words else np.zeros(0, np.uint64), whose)
+    begins = place[(base[owner] + offset).astype(np.int64)] if len(owner) else np.zeros(0, np.int64)
     out = Items(kept, words, [], [], [], [], [frozenset(w.tolist()) for w in words], _pieces(words), classes)
     for walk in range(WALKS):
-        keys = walk_keys(symbols, (base[owner] + offset).astype(np.int64), walk) if len(owner) else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
+        keys = walk_keys(symbols, begins, walk)
+        order = np.argsort(keys, kind="stable")[np.count_nonzero(keys == 0) :]
         out.keys.append(keys[order]), out.owners.append(owner[order]), out.offsets.append(offset[order])
         seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
         seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -229,8 +241,8 @@ def _collisions(words: Words, items: Items) -> np.ndarray:
     total = len(words.hashes)
     if not total or not items.ids:
         return np.zeros((0, 3), dtype=np.int64)
-    symbols = _padded(words.hashes)
     owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    symbols, places = _apart(words.hashes, owner)
     found = [np.zeros((0, 3), dtype=np.int64)]
 
     def look_up(keys, at, item_keys, owners, offsets):
@@ -242,14 +254,16 @@ def _collisions(words: Words, items: Items) -> np.ndarray:
         shift = place - words.first[owner[place]] - offsets[entry]
         found.append(np.stack([owner[place], owners[entry], shift], axis=1))
 
-    at = np.flatnonzero((np.arange(total) - words.first[owner]) % STRIDE == 0)
+    at = np.arange(total)
     for walk in range(WALKS if len(items.keys[0]) else 0):
-        keys = walk_keys(symbols, at, walk)
+        keys = walk_keys(symbols, places, walk)
         likely = np.flatnonzero(items.filters[walk][(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         look_up(keys[likely], at[likely], items.keys[walk], items.owners[walk], items.offsets[walk])
     for width, *pieces in items.pieces:
         at = np.flatnonzero(np.arange(total) + width <= words.first[owner + 1])
-        look_up(shingle_hashes(symbols[: total + width - 1], width)[at], at, *pieces)
+        if not len(at):
+            continue
+        look_up(shingle_hashes(words.hashes, width)[at], at, *pieces)
     return np.unique(np.concatenate(found), axis=0)
 
 

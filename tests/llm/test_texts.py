@@ -207,6 +207,26 @@ def test_short_items_equal_brute_force():
     assert _found(docs, items) == want
 
 
+@pytest.mark.parametrize("length", [10, 12, 13, 14, 16, 20, 31, 32, 40, 64])
+@pytest.mark.parametrize("kinds", ["s", "sdi"])
+def test_recall_at_a_quarter_of_edits(length, kinds):
+    rng = random.Random(length)
+    vocabulary = [f"word{k}" for k in range(20_000)]
+    items = [[rng.choice(vocabulary) for _ in range(length)] for _ in range(300)]
+    docs = []
+    for item in items:
+        own = list(item)
+        for _ in range(length // 4):
+            kind, at = rng.choice(kinds), rng.randrange(len(own))
+            own[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice(vocabulary)]
+        filler = [rng.choice(vocabulary) for _ in range(40)]
+        cut = rng.randrange(41)
+        docs.append(" ".join(filler[:cut] + own + filler[cut:]))
+    got = _found(docs, [" ".join(item) for item in items])
+    found = sum((k, k) in got for k in range(300))
+    assert found == 300 if length < decontamination.PIECED else found >= 297
+
+
 def test_chat_round_trip_and_escapes(spark):
     rng = random.Random(0)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "/s>", "[", "ok", " [/INST]", "\n", "é", "<<SYS>>", "<</SYS>>", "$1"]
