@@ -13,6 +13,7 @@ from fathomline.plans.registry import register, rounded, rounded_sql
 from fathomline.plans.scores import zone_production_scores
 from fathomline.plans.star_tables import KEYS, SYNONYMS, TAXON_GROUPS, UNIT, StarTables
 from fathomline.session import fresh_path
+from fathomline.sources.geojson import GEOMETRY
 from fathomline.sources.occurrences import load_occurrences
 from fathomline.sources.tables import stage
 
@@ -238,12 +239,12 @@ def _(t):
 
 
 def _geometry(layer: DataFrame) -> DataFrame:
-    """Replace rings by figures that SQL can compute as well."""
+    """Replace rings and parts by figures that SQL can compute as well."""
     points = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
     xs = F.transform(F.flatten("rings"), lambda p: p["x"])
     ys = F.transform(F.flatten("rings"), lambda p: p["y"])
     figures = {"n_points": points, "min_x": F.array_min(xs), "max_y": F.array_max(ys)}
-    return layer.withColumns(figures).drop("rings")
+    return layer.withColumns(figures).drop(*GEOMETRY)
 
 
 @register(
