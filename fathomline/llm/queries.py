@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import public_tokenizers
 
-from fathomline.llm import bpe, chat, decontamination, language, pii, quality, toxicity, warc
+from fathomline.llm import bpe, chat, decontamination, filter_audit, language, pii, quality, toxicity, warc
 from fathomline.llm.embeddings import near_vectors
+from fathomline.llm.exact import exact_duplicates
 from fathomline.llm.minhash import near_duplicates
+from fathomline.llm.phrases import collocations
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -219,3 +221,103 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f
 """
+
+
+@query
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in two batches; the first is the snapshot that the second is screened by."""
+    docs = table(spark, sf_dir, "documents")
+    batch = F.coalesce(fold(F.col("doc_id"), 2), F.lit(0))
+    return exact_duplicates([docs.where(batch == k) for k in range(2)])
+
+
+ORACLE["op11_exact"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  coalesce(doc_id = max(doc_id) OVER same, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_phrases"] = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM piece
+), f AS (
+  SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, range(1, 6) t(m)) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang
+), cand AS (
+  SELECT * FROM f WHERE m >= 2 AND a >= 100
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, k, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS s FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(s[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(s[k + 1:], ' ')
+  JOIN total ON total.lang = c.lang
+), weakest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN cand d ON c.lang = d.lang AND d.m > c.m
+    AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM weakest WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM inside)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failed_filters(table(spark, sf_dir, "documents"))
+    labelled = filter_audit.with_labels(failed, table(spark, sf_dir, "labels"))
+    return filter_audit.audit(labelled, filter_audit.FILTERS)
+
+
+ORACLE["op13_filter_audit"] = """
+WITH w AS (
+  SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id
+), flagged AS (
+  SELECT coalesce(source, '') AS part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), cell AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flagged GROUP BY ALL
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS f, left(filter_order, s - 1) AS before
+  FROM orders, range(1, 6) t(s)
+), told AS (
+  SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS failed, fails = f AS alone,
+    length(translate(before, fails, '')) = length(before) AS reached
+  FROM cell, steps
+), figures AS (
+  SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER (reached AND NOT failed), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (reached AND failed), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (NOT reached AND failed), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (reached AND failed), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (reached AND failed), 0) AS BIGINT) AS toxic_lost
+  FROM told GROUP BY ALL
+)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM figures
+"""
