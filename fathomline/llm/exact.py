@@ -167,8 +167,10 @@ def confirm(positives: DataFrame, classes: DataFrame, snapshot: Snapshot) -> Dat
     """
     bucket = snapshot.entries.select("digest", F.col("class_id").alias("root_class"))
     meetings = stage(positives.join(bucket, "digest").select("class_id", "root_class"), "exact-meetings")
+    # each side is cut down to the meetings on its own, so that neither table of texts is shuffled for the other
     ours = meetings.join(classes.select("class_id", "text"), "class_id")
-    theirs = snapshot.texts.select(F.col("class_id").alias("root_class"), F.col("text").alias("_text"))
+    stored = snapshot.texts.select(F.col("class_id").alias("root_class"), F.col("text").alias("_text"))
+    theirs = meetings.select("root_class").distinct().join(stored, "root_class")
     same = ours.join(theirs, "root_class").where(F.col("text") == F.col("_text"))
     return same.select("class_id", F.lit(snapshot.number).alias("root_batch"), "root_class")
 
@@ -230,7 +232,7 @@ def exact_duplicates(batches: list[DataFrame], digest: Callable[[Column], Column
         .select("batch", "class_id", "digest", "alone", "keep_id", "group_size"),
         "exact-answers",
     )
-    single, several = answers.where("alone"), answers.where("NOT alone")
+    single, several = answers.where("alone"), stage(answers.where("NOT alone"), "exact-collided")
     rows = reduce(
         DataFrame.unionByName,
         [
