@@ -10,12 +10,14 @@ its subtree in leaf order; the count of a phrase is the total of the leaves belo
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from fathomline.llm.words import map_batches, mix, word_hashes
 from fathomline.operators.relational import top_ties
@@ -26,7 +28,9 @@ LEAST = 100
 TOP = 2000
 # Words of a block, the unit in which equal suffixes are combined before the shuffle.
 BLOCK_WORDS = 1 << 20
-# Suffixes of a group on average; a prefix of more than an eighth of it is extended by another word.
+# Bytes of an Arrow batch of blocks, which are a megabyte or two each.
+BATCH_BYTES = 4 << 20
+# Suffixes of a group on average; a prefix that may have more than a quarter of it is extended by another word.
 GROUP_SUFFIXES = 1 << 20
 _SEEDS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -50,11 +54,28 @@ def _byte_table(seed: int) -> np.ndarray:
     return other[_WORD]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_BYTES`` for the jobs inside, all of which run to their end there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # blocks ------------------------------------------------------------------------------------------
 
 _BLOCK = "lang string, hashes array<bigint>, words array<string>, counts array<bigint>, ids binary, ends binary, n bigint"
 
 
+def _narrow(n: int) -> np.dtype:
+    """The type of numbers up to ``n``."""
+    return np.dtype(np.uint16 if n < 1 << 16 else np.uint32)
+
+
 def _piece_ends(words) -> np.ndarray:
     """Whether a piece ends after each word: at a break character or at the end of the text."""
     ends = np.zeros(len(words.hashes), dtype=bool)
@@ -106,7 +127,7 @@ class _Words:
                     as_list(pa.array(used.view(np.int64), pa.int64())),
                     as_list(pa.array(words, pa.binary()).cast(pa.string())),
                     as_list(pa.array(counts, pa.int64())),
-                    pa.array([ids.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([ids.astype(_narrow(len(used))).tobytes()], pa.binary()),
                     pa.array([np.packbits(ends[start : stop + DEPTH - 1]).tobytes()], pa.binary()),
                     pa.array([stop - start], pa.int64()),
                 ],
@@ -156,7 +177,7 @@ def _suffixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a block, its suffixes as numbers of words from 1 (0 beyond the end of the piece), and
     their lengths."""
     hashes = np.array(row["hashes"], dtype=np.int64).view(np.uint64)
-    ids = np.frombuffer(row["ids"], dtype=np.int32)
+    ids = np.frombuffer(row["ids"], dtype=_narrow(len(hashes))).astype(np.int32)
     ends = np.unpackbits(np.frombuffer(row["ends"], dtype=np.uint8))[: len(ids)].astype(bool)
     n = row["n"]
     # position of the end of each word's piece; the look-ahead may stop before it
@@ -176,41 +197,75 @@ def _rows(batches):
             }
 
 
-def _heavy_prefixes(blocks: DataFrame, heavy: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, n) of the prefixes one word longer than those in ``heavy`` (sorted keys by length - 1),
-    for each block."""
+def _prefixes(row: dict, heavy: list[np.ndarray], depth: int):
+    """Prefixes of ``depth`` words of a block, below the prefixes in ``heavy`` (sorted keys by length - 1):
+    their word hashes (one row each), keys and counts."""
+    hashes, columns, length = _suffixes(row)
+    at = np.flatnonzero(length >= depth)
+    keys = np.broadcast_to(_lang_key(row["lang"]), len(at))
+    for known, column in zip(heavy, columns[:depth]):
+        keys = _extend(keys, hashes[column[at] - 1])
+        inside = _has(known, keys)
+        at, keys = at[inside], keys[inside]
+    found = columns[:depth, at]
+    order = _order(found)
+    found = found[:, order]
+    first = np.flatnonzero(_changes(found))
+    return hashes[found[:, first].T - 1], np.diff(np.append(first, len(at)))
+
+
+def _prefix_batch(lang: str, phrases: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    count, depth = phrases.shape
+    offsets = pa.array(np.arange(0, count * depth + 1, depth), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang] * count, pa.string()),
+            pa.ListArray.from_arrays(offsets, pa.array(phrases.ravel().view(np.int64))),
+            pa.array(n, pa.int64()),
+        ],
+        names=["lang", "phrase", "n"],
+    )
+
+
+_PREFIX = "lang string, phrase array<bigint>, n bigint"
+
+
+def _longer_prefixes(blocks: DataFrame, heavy: list[np.ndarray], budget: int, n_words: int) -> DataFrame:
+    """(lang, phrase) of all prefixes one word longer than those in ``heavy`` that occur more than ``budget``
+    times, and of some that occur half as often.
+
+    A block only tells of prefixes that have more than its share of half the budget. What all blocks leave out
+    is less than that half, so a prefix whose told counts stay below the other half is within the budget.
+    """
     depth = len(heavy) + 1
 
+    def tell(batches):
+        for row in _rows(batches):
+            phrases, n = _prefixes(row, heavy, depth)
+            told = n > budget * row["n"] / (2 * n_words)
+            if told.any():
+                yield _prefix_batch(row["lang"], phrases[told], n[told])
+
+    told = map_batches(blocks, tell, _PREFIX).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return told.where(2 * F.col("n") >= budget).select("lang", "phrase")
+
+
+def _count_prefixes(blocks: DataFrame, heavy: list[np.ndarray]) -> DataFrame:
+    """(lang, phrase, n) of the prefixes in ``heavy`` of two words and more."""
+
     def count(batches):
         for row in _rows(batches):
-            hashes, columns, length = _suffixes(row)
-            at, keys = np.flatnonzero(length >= depth), None
-            keys = np.broadcast_to(_lang_key(row["lang"]), len(at))
-            for known, column in zip(heavy, columns):
-                keys = _extend(keys, hashes[column[at] - 1])
-                inside = _has(known, keys)
-                at, keys = at[inside], keys[inside]
-            if not len(at):
-                continue
-            found, n = np.unique(columns[:depth, at], axis=1, return_counts=True)
-            phrase = hashes[found.T.ravel() - 1].view(np.int64)
-            offsets = pa.array(np.arange(0, len(phrase) + 1, depth), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["lang"]] * len(n), pa.string()),
-                    pa.ListArray.from_arrays(offsets, pa.array(phrase)),
-                    pa.array(n, pa.int64()),
-                ],
-                names=["lang", "phrase", "n"],
-            )
+            for depth in range(2, len(heavy) + 1):
+                phrases, n = _prefixes(row, heavy[:depth], depth)
+                if len(n):
+                    yield _prefix_batch(row["lang"], phrases, n)
 
-    pairs = map_batches(blocks, count, "lang string, phrase array<bigint>, n bigint")
-    return pairs.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return map_batches(blocks, count, _PREFIX).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _keys_of(prefixes: DataFrame) -> np.ndarray:
-    """Sorted keys of prefixes over the budget: at most the number of words over the budget, so one in
-    ``GROUP_SUFFIXES`` / 8 words of the table."""
+    """Sorted keys of prefixes with at least half the budget: of each length no more than the number of words
+    over that half, so one in ``GROUP_SUFFIXES`` / 8 words of the table."""
     rows = prefixes.select("lang", "phrase").toArrow()
     keys = np.zeros(rows.num_rows, dtype=np.uint64)
     for i, (lang, phrase) in enumerate(zip(rows.column("lang").to_pylist(), rows.column("phrase").to_pylist())):
@@ -221,7 +276,7 @@ def _keys_of(prefixes: DataFrame) -> np.ndarray:
     return np.sort(keys)
 
 
-_PIECE = "bucket bigint, lang string, n int, hashes binary, ids binary, counts binary, least binary"
+_PIECE = "bucket bigint, lang string, n int, hashes binary, rows binary"
 
 
 def _deal(blocks: DataFrame, heavy: list[np.ndarray], groups: int) -> DataFrame:
@@ -245,56 +300,74 @@ def _deal(blocks: DataFrame, heavy: list[np.ndarray], groups: int) -> DataFrame:
             open_ = np.flatnonzero(least)
             columns, least = columns[:, open_], least[open_]
             bucket = (keys[open_] % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort([*columns[::-1], bucket]) if len(hashes) >= 1 << 21 else _order(columns, bucket)
-            columns, least, bucket = columns[:, order], least[order], bucket[order]
-            if not len(order):
+            if not len(open_):
                 continue
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (columns[:, 1:] != columns[:, :-1]).any(axis=0)
-            first = np.flatnonzero(new)
+            order = _order(columns, bucket)
+            columns, least, bucket = columns[:, order], least[order], bucket[order]
+            first = np.flatnonzero(_changes(columns) | _changes(bucket[None]))
             counts = np.diff(np.append(first, len(order)))
             columns, least, bucket = columns[:, first], least[first], bucket[first]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            out: dict[str, list] = {c: [] for c in ("bucket", "n", "hashes", "ids", "counts", "least")}
+            out: dict[str, list] = {c: [] for c in ("bucket", "n", "hashes", "rows")}
+            pack = zstandard.ZstdCompressor(level=3).compress
             for a, b in zip(cuts[:-1], cuts[1:]):
                 part = columns[:, a:b]
                 used, ids = np.unique(part, return_inverse=True)
                 ids = ids.reshape(part.shape) + (0 if used[0] == 0 else 1)
                 used = used[used > 0]
-                narrow = np.uint16 if len(used) < 1 << 16 else np.uint32
                 out["bucket"].append(int(bucket[a]))
                 out["n"].append(b - a)
                 out["hashes"].append(hashes[used - 1].tobytes())
-                out["ids"].append(ids.astype(narrow).tobytes())
-                out["counts"].append(counts[a:b].astype(np.uint32).tobytes())
-                out["least"].append(least[a:b].tobytes())
+                # place by place, so that what neighbours share lies together
+                body = [ids.astype(_narrow(len(used))), counts[a:b].astype(np.uint32), least[a:b]]
+                out["rows"].append(pack(b"".join(x.tobytes() for x in body)))
             kinds = {"bucket": pa.int64(), "n": pa.int32()}
             arrays = {c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()}
             arrays["lang"] = pa.array([row["lang"]] * len(out["n"]), pa.string())
-            names = ["bucket", "lang", "n", "hashes", "ids", "counts", "least"]
+            names = ["bucket", "lang", "n", "hashes", "rows"]
             yield pa.RecordBatch.from_arrays([arrays[c] for c in names], names=names)
 
     return map_batches(blocks, deal, _PIECE)
 
 
 def _order(columns: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
-    """The order of suffixes by word numbers below two to the 21, three to a sort key."""
-    columns = columns.astype(np.int64)
-    high = columns[0] << 42 | columns[1] << 21 | columns[2]
-    low = columns[3] << 21 | columns[4]
-    return np.lexsort([low, high] if bucket is None else [low, high, bucket])
+    """The order of rows of word numbers (one array a place), within buckets if given.
+
+    Numbers below two to the 21, as all but huge vocabularies have, go three into a sort key.
+    """
+    keys = list(columns)
+    if columns.size and columns.max() < 1 << 21:
+        keys = []
+        for start in range(0, len(columns), 3):
+            key = columns[start].astype(np.int64)
+            for column in columns[start + 1 : start + 3]:
+                key <<= 21
+                key |= column
+            keys.append(key)
+    return np.lexsort([*keys[::-1], *([] if bucket is None else [bucket])])
+
+
+def _changes(columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.zeros(columns.shape[1], dtype=bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return new
 
 
 def _subtree(least_count: int):
     def count(key: tuple, pieces: pa.Table) -> pa.Table:
         hashes, columns, counts, least = [], [], [], []
-        for piece in pieces.select(["n", "hashes", "ids", "counts", "least"]).to_pylist():
-            own = np.frombuffer(piece["hashes"], dtype=np.uint64)
-            ids = np.frombuffer(piece["ids"], dtype=np.uint16 if len(own) < 1 << 16 else np.uint32)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for n, own, rows in zip(*(pieces.column(c) for c in ("n", "hashes", "rows"))):
+            n, own, rows = n.as_py(), np.frombuffer(own.as_buffer(), dtype=np.uint64), unpack(rows.as_buffer())
+            narrow = _narrow(len(own))
+            wide = DEPTH * n * narrow.itemsize
             hashes.append(own)
-            columns.append(ids.reshape(DEPTH, piece["n"]))
-            counts.append(np.frombuffer(piece["counts"], dtype=np.uint32))
-            least.append(np.frombuffer(piece["least"], dtype=np.uint8))
+            columns.append(np.frombuffer(rows, dtype=narrow, count=DEPTH * n).reshape(DEPTH, n))
+            counts.append(np.frombuffer(rows, dtype=np.uint32, count=n, offset=wide))
+            least.append(np.frombuffer(rows, dtype=np.uint8, count=n, offset=wide + 4 * n))
         known, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
         at = 0
         for i, own in enumerate(hashes):
@@ -303,7 +376,7 @@ def _subtree(least_count: int):
             at += len(own)
         columns = np.concatenate(columns, axis=1)
         counts, least = np.concatenate(counts).astype(np.int64), np.concatenate(least)
-        order = _order(columns) if len(known) < 1 << 21 else np.lexsort(columns[::-1])
+        order = _order(columns)
         columns, counts, least = columns[:, order], counts[order], least[order]
         phrases, totals = [], []
         for depth in range(1, DEPTH + 1):
@@ -312,9 +385,7 @@ def _subtree(least_count: int):
             columns, counts, least = columns[:, inside], counts[inside], least[inside]
             if not len(counts):
                 break
-            new = np.ones(len(counts), dtype=bool)
-            new[1:] = (columns[:depth, 1:] != columns[:depth, :-1]).any(axis=0)
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(_changes(columns[:depth]))
             total = np.add.reduceat(counts, first)
             enough = total >= least_count
             told = enough & (least[first] <= depth)
@@ -357,23 +428,22 @@ def phrase_counts(
     blocks: DataFrame, words: DataFrame, least: int = LEAST, group_suffixes: int = GROUP_SUFFIXES
 ) -> DataFrame:
     """(lang, phrase, n): the occurrences of every phrase of 1 to ``DEPTH`` words with at least ``least`` of them."""
-    budget = max(1, group_suffixes // 8)
+    blocks = blocks.select("lang", "hashes", "ids", "ends", "n")
+    budget = max(1, group_suffixes // 4)
     n = words.agg(F.sum("n")).first()[0] or 0
     single = words.select("lang", F.array("hash").alias("phrase"), "n")
-    counted, heavy = [single.where(F.col("n") > budget)], []
-    while True:
-        keys = _keys_of(counted[-1])
-        if not len(keys):
-            break
+    longest, heavy = single.where(F.col("n") > budget), []
+    while len(keys := _keys_of(longest)):
         heavy.append(keys)
         if len(heavy) == DEPTH:
             break
-        longer = _heavy_prefixes(blocks, list(heavy)).where(F.col("n") > budget)
-        counted.append(stage(longer, "phrase-prefixes"))
+        longest = stage(_longer_prefixes(blocks, list(heavy), budget, n), "phrase-prefixes")
     pieces = _deal(blocks, heavy, max(1, ceil(n / group_suffixes)))
-    found = pieces.groupBy("bucket", "lang").applyInArrow(_subtree(least), "lang string, phrase array<bigint>, n bigint")
-    for prefixes in counted:
-        found = found.unionByName(prefixes.where(F.col("n") >= least))
+    found = pieces.groupBy("bucket", "lang").applyInArrow(_subtree(least), _PREFIX)
+    if heavy:
+        found = found.unionByName(single.where((F.col("n") > budget) & (F.col("n") >= least)))
+    if len(heavy) > 1:
+        found = found.unionByName(_count_prefixes(blocks, heavy).where(F.col("n") >= least))
     return stage(found, "phrase-counts")
 
 
@@ -403,8 +473,9 @@ def collocations(
     Repeated rows count again; an empty table has no phrases; texts may be of any length (blocks cut them,
     suffixes run on); other columns are not read.
     """
-    blocks, words = _encode(docs, language)
-    counts = phrase_counts(blocks, words, least, group_suffixes)
+    with _small_batches(docs.sparkSession):
+        blocks, words = _encode(docs, language)
+        counts = phrase_counts(blocks, words, least, group_suffixes)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     size = F.size("phrase")
     phrases = counts.withColumnRenamed("n", "a")
