@@ -749,6 +749,27 @@ def _(t):
     return join_points(zones, t.vector_points.select("vec_id", "lon", "lat"), cover, 0.1).select("zone", "vec_id")
 
 
+_LINE_EDGES = "(SELECT zone, x1 + 40 AS x1, y1, x2 + 40 AS x2, y2 FROM fx_shape)"
+# one row per species and place, and one more for the same place a turn further east
+_LINE_POINTS = """(SELECT DISTINCT species, lon + turn AS lon, lat FROM fx_occurrence, (VALUES (0), (360)) t(turn))"""
+
+
+@register(
+    "g02_across_date_line",
+    f"""SELECT zone, species, count(*) AS n_points, count(*) FILTER (lon < 0) AS n_west FROM (
+          SELECT zone, species, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon FROM (
+            {INSIDE_SQL.format(id="species", points=_LINE_POINTS, edges=_LINE_EDGES).replace("SELECT p.species, e.zone", "SELECT p.species, p.lon, p.lat, e.zone")}))
+        GROUP BY zone, species""",
+)
+def _(t):
+    """Zones moved east by 40 degrees, so that a column of them reaches across the date line, and the places on
+    either side of it."""
+    moved = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] + 40).alias("x"), p["y"].alias("y"))))
+    cover = stage(zone_cover(t.zone_shapes.withColumn("rings", moved), cell=2.0), "cover")
+    hits = points_in_cover(t.occurrences.distinct(), cover, 2.0)
+    return hits.groupBy("zone", "species").agg(F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("lon") < 0).alias("n_west"))
+
+
 @register("g03_presence", f"""SELECT DISTINCT zone, CAST(label AS VARCHAR) AS species FROM (
     {INSIDE_SQL.format(id='vec_id', points='fx_point', edges='fx_edge')}) JOIN fx_point USING (vec_id)""")
 def _(t):

@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from fathomline.operators.spatial import inside, join_points, points_in_cover, ring_edges, zone_cover
+from fathomline.operators.spatial import inside, join_points, on_globe_edges, points_in_cover, ring_edges, zone_cover
 from tests.conftest import rows
 
 ZONE = "zone string, rings array<array<struct<x:double,y:double>>>"
@@ -68,3 +69,76 @@ def test_join_is_on_cells(spark):
     points = spark.range(10).select(F.col("id").cast("double").alias("lon"), F.lit(1.0).alias("lat"))
     plan = points_in_cover(points, cover)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cover_follows_the_edges(spark):
+    """A wave with 100,000 edges: each edge is kept about once, and nothing else."""
+    n = 50_000
+    top = [(i * 100 / n, 10 + 3 * math.sin(i / 40)) for i in range(n + 1)]
+    ring = top + [(x, y - 5) for x, y in reversed(top)]
+    cover = zone_cover(_zones(spark, {"wave": [ring]}), cell=0.5).cache()
+    kept = cover.agg(F.sum(F.size("edges"))).first()[0]
+    assert len(ring) <= kept <= 1.3 * len(ring)
+    rng = random.Random(2)
+    points = [(i, rng.uniform(-1, 101), rng.uniform(0, 15)) for i in range(3000)] + [(10_000 + i, *top[i * 37]) for i in range(1000)]
+    found = points_in_cover(spark.createDataFrame(points, "i int, lon double, lat double"), cover, 0.5).select("i")
+    got = {r["i"] for r in found.collect()}
+    assert got >= set(range(10_000, 11_000))
+
+    def within(x, y):
+        if not 0 <= x <= 100:
+            return None
+        at = min(int(x * n / 100), n - 1)
+        (x1, y1), (x2, y2) = top[at], top[at + 1]
+        edge = y1 + (x - x1) / (x2 - x1) * (y2 - y1)
+        return edge - 5 <= y <= edge
+
+    assert {i for i, x, y in points[:3000] if within(x, y)} == {i for i in got if i < 3000}
+    cover.unpersist()
+
+
+def _wrapped(rings, x, y):
+    return any(_brute(rings, x + turn, y) for turn in (-360, 0, 360))
+
+
+ACROSS = {
+    "on": [[(170.0, -10.0), (195.0, -12.0), (190.0, 10.0), (175.0, 12.0)]],
+    "back": [[(-175.0, 0.0), (-195.0, 5.0), (-185.0, 20.0)]],
+    # three tongues that reach over the line, and a hole on it
+    "comb": [
+        [(170, -60), (190, -60), (190, -50), (175, -50), (175, -45), (185, -45), (185, -40), (175, -40), (175, -35), (200, -35), (200, -20), (170, -20)],
+        [(178, -30), (183, -30), (183, -25), (178, -25)],
+    ],
+    "touching": [[(150.0, 30.0), (180.0, 30.0), (180.0, 40.0), (150.0, 40.0)]],
+    "corner": [[(180.0, 50.0), (190.0, 55.0), (180.0, 60.0), (170.0, 55.0)]],
+    "aside": [[(-170.0, 65.0), (-160.0, 65.0), (-160.0, 70.0), (-170.0, 70.0)]],
+}
+
+
+def test_zones_across_the_date_line(spark):
+    shapes = {z: [[(float(x), float(y)) for x, y in ring] for ring in rings] for z, rings in ACROSS.items()}
+    rng = random.Random(3)
+    points = [(i, rng.choice([1, -1]) * rng.uniform(145, 180), rng.uniform(-65, 75)) for i in range(3000)]
+    points += [(5000 + i, float(rng.choice([180, -180, 175, -175, 170])), rng.randint(-130, 150) / 2) for i in range(500)]
+    df = spark.createDataFrame(points, "i int, lon double, lat double")
+    expected = sorted((i, z) for i, x, y in points for z, rings in shapes.items() if _wrapped(rings, x, y))
+    for cell in (0.7, 2.0, 9.0):
+        found = points_in_cover(df, zone_cover(_zones(spark, shapes), cell=cell), cell).select("i", "zone")
+        assert sorted(tuple(r) for r in found.collect()) == expected, cell
+    # the same rings given with longitudes that jump
+    jumping = {z: [[((x + 180) % 360 - 180 if abs(x) != 180 else x, y) for x, y in ring] for ring in rings] for z, rings in shapes.items()}
+    found = points_in_cover(df, zone_cover(_zones(spark, jumping), cell=2.0), 2.0).select("i", "zone")
+    assert sorted(tuple(r) for r in found.collect()) == expected
+
+
+def test_edges_stay_on_the_globe_and_poles_are_refused(spark):
+    shapes = {z: [[(float(x), float(y)) for x, y in ring] for ring in rings] for z, rings in ACROSS.items()}
+    edges = on_globe_edges(_zones(spark, shapes)).select("e.*").collect()
+    assert all(-180 <= e[c] <= 180 for e in edges for c in ("x1", "x2"))
+    around = _zones(spark, {"pole": [[(-150.0, 60.0), (-30.0, 60.0), (90.0, 60.0), (170.0, 60.0)]]})
+    try:
+        zone_cover(around).collect()
+    except Exception as error:
+        assert "pole" in str(error)
+    else:
+        raise AssertionError("a ring around a pole was taken")
