@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomline.functions import aggregates as agg
 from fathomline.functions import scalars
+from fathomline.operators.dissolve import area, dissolve
 from fathomline.operators.nested import all_values, nest, nest_tables, only_value, unnest
 from fathomline.operators.order import ordinal, positions
 from fathomline.operators.relational import (
@@ -749,6 +750,54 @@ def _(t):
     return join_points(zones, t.vector_points.select("vec_id", "lon", "lat"), cover, 0.1).select("zone", "vec_id")
 
 
+# blocks that fill a grid without gaps, some with a hole; borders within a province cancel, and each edge is
+# followed by the one that keeps most to the left
+_DISSOLVED = """
+    WITH RECURSIVE block AS (
+      SELECT province, -170.0::DOUBLE + 68 * (n_nationkey % 5) AS x0, -70.0::DOUBLE + 28 * (n_nationkey // 5) AS y0,
+             n_nationkey % 3 = 0 AS holed FROM nation JOIN fx_zone ON n_name = zone
+    ), edge AS (
+      SELECT province, x0 + a AS x1, y0 + b AS y1, x0 + c AS x2, y0 + d AS y2, k FROM block,
+        (VALUES (0, 0, 68, 0, 0, false), (68, 0, 68, 28, 1, false), (68, 28, 0, 28, 2, false), (0, 28, 0, 0, 3, false),
+                (10, 8, 10, 20, 1, true), (10, 20, 30, 20, 0, true), (30, 20, 30, 8, 3, true), (30, 8, 10, 8, 2, true)
+        ) v(a, b, c, d, k, hole) WHERE NOT hole OR holed
+    ), border AS (
+      SELECT *, row_number() OVER (ORDER BY province, x1, y1, x2, y2) AS id FROM edge e WHERE NOT EXISTS (
+        SELECT 1 FROM edge o WHERE o.province = e.province AND o.x1 = e.x2 AND o.y1 = e.y2 AND o.x2 = e.x1 AND o.y2 = e.y1)
+    ), follow AS (
+      SELECT a.id, arg_min(b.id, CASE (b.k - a.k + 4) % 4 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END) AS next
+      FROM border a JOIN border b ON a.province = b.province AND a.x2 = b.x1 AND a.y2 = b.y1 GROUP BY a.id
+    ), reach AS (
+      SELECT id AS start, id FROM border UNION SELECT r.start, f.next FROM reach r JOIN follow f ON r.id = f.id
+    ), ring AS (SELECT start AS id, min(id) AS ring FROM reach GROUP BY start)
+    SELECT province, CAST(count(DISTINCT ring) AS INTEGER) AS n_rings, CAST(count(*) AS INTEGER) AS n_edges,
+           sum(x1 * y2 - x2 * y1) / 2 AS area, min(x1) AS min_x, max(y1) AS max_y
+    FROM border JOIN ring USING (id) GROUP BY province"""
+
+
+@register("a18_dissolve_provinces", f"SELECT * FROM ({_DISSOLVED})")
+def _(t):
+    """Provinces as the union of their zones."""
+    x0, y0 = F.lit(-170.0) + 68 * (F.col("n_nationkey") % 5), F.lit(-70.0) + 28 * F.floor(F.col("n_nationkey") / 5)
+    ring = lambda corners: F.array(
+        *[F.struct((x0 + a).cast("double").alias("x"), (y0 + b).cast("double").alias("y")) for a, b in corners]
+    )
+    block, hole = ring([(0, 0), (68, 0), (68, 28), (0, 28)]), ring([(10, 8), (30, 8), (30, 20), (10, 20)])
+    # turned one way and the other, as layers come
+    rings = F.when(F.col("n_nationkey") % 3 == 0, F.array(block, hole)).otherwise(F.array(F.reverse(block)))
+    shapes = t.table("nation").select(F.col("n_name").alias("zone"), rings.alias("rings"))
+    union = dissolve(shapes.join(t.zones, "zone"), ["province"])
+    points = F.flatten(F.transform("rings", lambda r: F.slice(r, 2, F.size(r) - 1)))
+    return union.select(
+        "province",
+        F.size("rings").alias("n_rings"),
+        F.size(points).alias("n_edges"),
+        area().alias("area"),
+        F.array_min(F.transform(points, lambda p: p["x"])).alias("min_x"),
+        F.array_max(F.transform(points, lambda p: p["y"])).alias("max_y"),
+    )
+
+
 _LINE_EDGES = "(SELECT zone, x1 + 40 AS x1, y1, x2 + 40 AS x2, y2 FROM fx_shape)"
 # one row per species and place, and one more for the same place a turn further east
 _LINE_POINTS = """(SELECT DISTINCT species, lon + turn AS lon, lat FROM fx_occurrence, (VALUES (0), (360)) t(turn))"""
