@@ -12,6 +12,10 @@ OCCURRENCE_SYNONYMS = {
     "Pagrus major": "Pagrus auratus",
 }
 
+# Names in the header of occurrence files.
+OCCURRENCE_COLUMNS = {"genus": "Genus", "epithet": "Species", "lat": "Center Lat", "lon": "Center Long"}
+PROBABILITY_COLUMN = {"probability": "Overall Probability"}
+
 # Native records that the occurrence data lack, and the species left out of the study.
 MANUAL_NATIVE_ZONE = "Yellow Sea"
 MANUAL_NATIVE_SPECIES = [

@@ -87,22 +87,35 @@ def _(t):
     return rounded(production.apportion_zones(t.unit_zone, UNIT), "mean_prod", "zone_prod")
 
 
-def _occurrence_files(t: StarTables) -> str:
-    """Occurrence files made from the lines: prose, header and one line per point."""
+_HEADER = [
+    "Genus", "Species", "Center Lat", "Center Long", "C-Square", "Depth", "SST", "Salinity", "Primary Production",
+    "Sea Ice Conc.", "Distance to Land",
+]
+_PROSE = [
+    '"Mapping parameters, one ""species"" per file",,,,,,,,,,',
+    ",,,,,,,,,,",
+    '"Cite the maps, and their makers, as given",,,,,,,,,,',
+    "Occurrence cells used (n = 1),,,,,,,,,,",
+]
+
+
+def occurrence_files(t: StarTables, points: DataFrame, layouts: list[list[str]]) -> str:
+    """Occurrence files made of ``points`` (file and the columns of the header as text): in each of them prose, a
+    header in the order of its layout, and a line per point."""
     path = fresh_path(t.spark, "occurrences")
-    header = [
-        '"Mapping parameters, one ""species"" per file",,,,,,,,,,',
-        ",,,,,,,,,,",
-        '"Cite the maps, and their makers, as given",,,,,,,,,,',
-        "Occurrence cells used (n = 1),,,,,,,,,,",
-        "Genus,Species,Center Lat,Center Long,C-Square,Depth,SST,Salinity,Primary Production,Sea Ice Conc.,Distance to Land",
-    ]
-    genus = F.split("species", "#")
-    cells = [genus[0], genus[1], F.col("lat").cast("string"), F.col("lon").cast("string"), F.lit("7101:247:3,66,24.5,35.7,2415,0,19")]
-    points = t.occurrences.select(F.concat_ws(",", *cells).alias("value"))
-    prose = t.table("region").select(F.explode(F.array(*[F.lit(line) for line in header])).alias("value"))
-    prose.unionByName(points).write.text(path)
-    return path
+    rest = F.lit("7101:247:3,66,24.5,35.7,2415,0,19")
+    known = {"Genus": "genus", "Species": "epithet", "Center Lat": "lat", "Center Long": "lon", "Overall Probability": "probability"}
+    lines = []
+    for number, layout in enumerate(layouts):
+        above = F.array(*[F.lit(line) for line in [*_PROSE[number:], ",".join(layout)]])
+        one = t.table("region").limit(1).select(F.posexplode(above).alias("place", "value"))
+        lines.append(one.select(F.lit(number).alias("file"), "place", "value"))
+        cells = [known[c] if c in known else F.get(F.split(rest, ","), F.lit(i % 7)) for i, c in enumerate(layout)]
+        own = points.where(F.col("file") == number)
+        lines.append(own.select(F.lit(number).alias("file"), F.lit(99).alias("place"), F.concat_ws(",", *cells).alias("value")))
+    ordered = union_all(*lines).repartition("file").sortWithinPartitions("file", "place")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    return f"{path}/*"
 
 
 @register(
@@ -111,7 +124,16 @@ def _occurrence_files(t: StarTables) -> str:
        FROM fx_occurrence""",
 )
 def _(t):
-    return load_occurrences(t.spark, _occurrence_files(t), {"Brand 7": "Brand 8"}).drop("file")
+    genus = F.split("species", "#")
+    points = t.occurrences.select(
+        F.pmod(F.hash("lat"), F.lit(3)).alias("file"),
+        genus[0].alias("genus"),
+        genus[1].alias("epithet"),
+        F.col("lat").cast("string").alias("lat"),
+        F.col("lon").cast("string").alias("lon"),
+    )
+    layouts = [_HEADER, [*_HEADER[2:], *_HEADER[:2]], _HEADER[::-1]]
+    return load_occurrences(t.spark, occurrence_files(t, points, layouts), {"Brand 7": "Brand 8"}).drop("file")
 
 
 INSIDE_SQL = """

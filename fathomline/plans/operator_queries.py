@@ -22,7 +22,7 @@ from fathomline.operators.relational import (
 )
 from fathomline.operators.rescale import impute_mean, minmax, table_value
 from fathomline.operators.spatial import join_points, points_in_cover, zone_cover
-from fathomline.plans.job_queries import INSIDE_SQL, mean_ci_sql, summary_sql
+from fathomline.plans.job_queries import INSIDE_SQL, mean_ci_sql, occurrence_files, summary_sql
 from fathomline.plans.layers import save_layer, with_geometry, without_geometry
 from fathomline.plans.native import native_presence
 from fathomline.plans.registry import register, rounded
@@ -32,7 +32,7 @@ from fathomline.session import fresh_path
 from fathomline.sources import schemas
 from fathomline.sources.enrich import constant_rows, enrich
 from fathomline.sources.geojson import read_layer, write_layer
-from fathomline.sources.occurrences import as_points, load_probabilities, off_globe
+from fathomline.sources.occurrences import as_points, load_probabilities, off_globe, read_occurrences
 from fathomline.sources.tables import (
     current_table,
     read_csv,
@@ -88,14 +88,41 @@ def _(t):
               round(p_size / 100, 6) AS probability FROM part""",
 )
 def _(t):
-    path = fresh_path(t.spark, "probabilities")
-    prose = t.table("region").select(F.explode(F.array(F.lit("Map data (n = 5): ,,,,,"), F.lit(",,,,,"), F.lit("Genus,Species,Center Lat,Center Long,C-Square Code,Overall Probability"))).alias("value"))
     size = F.col("p_size").cast("double")
-    cells = ["p_type", "p_brand", (size * 0.5).cast("string"), (size * 2).cast("string"), F.lit("1104:113:1"), (size / 100).cast("string")]
-    prose.unionByName(t.table("part").select(F.concat_ws(",", *cells).alias("value"))).write.text(path)
+    points = t.table("part").select(
+        (F.col("p_partkey") % 2).cast("int").alias("file"),
+        F.col("p_type").alias("genus"),
+        F.col("p_brand").alias("epithet"),
+        (size * 0.5).cast("string").alias("lat"),
+        (size * 2).cast("string").alias("lon"),
+        (size / 100).cast("string").alias("probability"),
+    )
+    header = ["Genus", "Species", "Center Lat", "Center Long", "C-Square Code", "Overall Probability"]
+    path = occurrence_files(t, points, [header, header[::-1]])
     return rounded(load_probabilities(t.spark, path).drop("file"), "probability")
 
 
+@register(
+    "s03_scan_by_header",
+    """SELECT p_type || ' ' || p_brand AS species, CASE WHEN p_size <> 13 THEN p_size * 0.5::DOUBLE END AS lat,
+              CASE WHEN p_size <> 13 THEN p_size * 2.0::DOUBLE END AS lon,
+              CASE WHEN p_size = 13 THEN 'bad coordinates' END AS problem FROM part""",
+)
+def _(t):
+    """Two files whose columns stand in different orders; rows below the headers without a latitude are reported."""
+    size = F.col("p_size").cast("double")
+    points = t.table("part").select(
+        (F.col("p_partkey") % 2).cast("int").alias("file"),
+        F.col("p_type").alias("genus"),
+        F.col("p_brand").alias("epithet"),
+        F.when(size == 13, "unknown").otherwise((size * 0.5).cast("string")).alias("lat"),
+        (size * 2).cast("string").alias("lon"),
+    )
+    layouts = [["Genus", "Species", "Center Lat", "Center Long", "Depth"], ["Depth", "Center Long", "Species", "SST", "Center Lat", "Genus"]]
+    found, problems = read_occurrences(t.spark, occurrence_files(t, points, layouts))
+    return union_all(found.drop("probability"), problems).drop("file")
+
+
 @register("s05_nested_parquet", "SELECT conv_id, count(*) AS n_records, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def _(t):
     stored = stage(nest(t.table("conversations"), ["conv_id"], ["turn"], "records"), "nested")

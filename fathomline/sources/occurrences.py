@@ -4,37 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.functions.fixed_values import OCCURRENCE_SYNONYMS
+from fathomline.functions.fixed_values import OCCURRENCE_COLUMNS, OCCURRENCE_SYNONYMS, PROBABILITY_COLUMN
 from fathomline.functions.scalars import recode
-from fathomline.sources.schemas import OCCURRENCE_COLUMNS, PROBABILITY_COLUMNS, fields
+from fathomline.sources.headers import scan_by_header
 
+BAD_COORDINATES, NO_HEADER = "bad coordinates", "no header"
 
-def _data_rows(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """All files in one scan. Spark CSV cannot skip lines by number, but only data rows hold numbers in
-    both coordinate columns, so the casts tell data from preamble, header and blank lines wherever the
-    header stands."""
-    text = spark.read.schema(fields(", ".join(f"{c}:s" for c in columns))).csv(paths)
-    coordinates = {c: F.col(c).try_cast("double") for c in ("lat", "lon")}
-    return (
-        text.withColumn("file", F.col("_metadata.file_name"))
-        .withColumns(coordinates)
-        .where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .withColumn("species", F.concat_ws(" ", "genus", "epithet"))
-    )
+
+def read_occurrences(
+    spark: SparkSession, paths: str | list[str], synonyms: dict[str, str] = OCCURRENCE_SYNONYMS
+) -> tuple[DataFrame, DataFrame]:
+    """Points and problems of any number of occurrence files, whatever the order of their columns.
+
+    Points are (species, lat, lon, probability, file), names recoded by ``synonyms``; a layout without a
+    probability has nulls. Problems are (file, species, problem): rows below a header whose coordinates are no
+    numbers, and files in which no header was found.
+    """
+    scan = scan_by_header(spark, paths, OCCURRENCE_COLUMNS, PROBABILITY_COLUMN)
+    number = {c: F.col(c).try_cast("double") for c in ("lat", "lon", "probability")}
+    rows = scan.rows.withColumns(number).withColumn("species", recode(F.concat_ws(" ", "genus", "epithet"), synonyms))
+    good = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    problems = rows.where(~good).select("file", "species", F.lit(BAD_COORDINATES).alias("problem"))
+    headless = scan.headless.select("file", F.lit(None).cast("string").alias("species"), F.lit(NO_HEADER).alias("problem"))
+    return rows.where(good).select("species", "lat", "lon", "probability", "file"), problems.unionByName(headless)
 
 
 def load_occurrences(
     spark: SparkSession, paths: str | list[str], synonyms: dict[str, str] = OCCURRENCE_SYNONYMS
 ) -> DataFrame:
     """Points (species, lat, lon, file) from any number of occurrence files, names recoded by ``synonyms``."""
-    rows = _data_rows(spark, paths, OCCURRENCE_COLUMNS)
-    return rows.select(recode("species", synonyms).alias("species"), "lat", "lon", "file")
+    return read_occurrences(spark, paths, synonyms)[0].drop("probability")
 
 
 def load_probabilities(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Points with a probability (species, lat, lon, probability, file)."""
-    rows = _data_rows(spark, paths, PROBABILITY_COLUMNS)
-    return rows.select("species", "lat", "lon", F.col("probability").try_cast("double").alias("probability"), "file")
+    """Points with a probability (species, lat, lon, probability, file), names as they are."""
+    return read_occurrences(spark, paths, {})[0]
 
 
 def as_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -37,19 +37,3 @@ NATIVE = fields("zone:s, species:s, status:s")
 POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 RINGS = ArrayType(ArrayType(POINT))
 ZONE = StructType(fields("zone:s, province:s, realm:s").fields + [StructField("rings", RINGS)])
-
-# Column order of the two occurrence layouts; every column is read as text and cast afterwards.
-OCCURRENCE_COLUMNS = [
-    "genus",
-    "epithet",
-    "lat",
-    "lon",
-    "c_square",
-    "depth",
-    "sst",
-    "salinity",
-    "primary_production",
-    "sea_ice",
-    "distance_to_land",
-]
-PROBABILITY_COLUMNS = ["genus", "epithet", "lat", "lon", "c_square", "probability"]

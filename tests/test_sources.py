@@ -7,7 +7,7 @@ from fathomline import session
 from fathomline.sources import schemas
 from fathomline.sources.enrich import constant_rows, enrich
 from fathomline.sources.geojson import convert_collections, read_collection, read_layer, write_layer
-from fathomline.sources.occurrences import as_points, load_occurrences, load_probabilities, off_globe
+from fathomline.sources.occurrences import as_points, load_occurrences, load_probabilities, off_globe, read_occurrences
 from fathomline.sources.tables import (
     current_table,
     read_csv,
@@ -57,6 +57,32 @@ def test_occurrences_of_many_files_in_one_scan(spark, tmp_path):
     assert off_globe(points).count() == 2
 
 
+def test_columns_are_found_by_name_and_problems_are_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Prose about 1,2,3,4\n\nGenus,Species,Center Lat,Center Long\nA,a,1,2\nA,b,x,2\n,,,\nA,c,3,\n")
+    (tmp_path / "b.csv").write_text("1,2,3,4,5\nDepth, Center Long ,Center Lat,Genus,Species,Overall Probability\n9,20,10,B,a,0.5\n9,21,11,B,\"a, b\",\n")
+    (tmp_path / "c.csv").write_text("Genus,Species,Center Lat\nC,a,1\n")
+    (tmp_path / "d.csv").write_text("")
+    points, problems = read_occurrences(spark, str(tmp_path / "*.csv"), {"A a": "A new"})
+    assert rows(points) == sorted(
+        [("A new", 1.0, 2.0, None, "a.csv"), ("B a", 10.0, 20.0, 0.5, "b.csv"), ("B a, b", 11.0, 21.0, None, "b.csv")], key=str
+    )
+    assert rows(problems) == [("a.csv", "A b", "bad coordinates"), ("a.csv", "A c", "bad coordinates"), ("c.csv", None, "no header")]
+
+
+def test_rows_of_split_files_stay_below_their_header(spark, tmp_path):
+    """Rows that look like data above the header are prose, in whichever split of the file the header lies."""
+    above = ["Z,z,1,1"] * 3000
+    data = [f"A,a,{i},1" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("\n".join([*above, "Genus,Species,Center Lat,Center Long", *data]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        points, _ = read_occurrences(spark, str(tmp_path / "a.csv"))
+        assert points.count() == 3000 and {r[0] for r in points.select("species").distinct().collect()} == {"A a"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_probabilities(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Map data,,,,,\n,,,,,\nGenus,Species,Center Lat,Center Long,C-Square Code,Overall Probability\nA,b,1.25,2.75,1104:113:1,0.01\n")
     df = load_probabilities(spark, str(tmp_path / "p.csv"))
