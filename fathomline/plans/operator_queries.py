@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomline.functions import aggregates as agg
 from fathomline.functions import scalars
+from fathomline.operators.corrections import apply_corrections
 from fathomline.operators.dissolve import area, dissolve
+from fathomline.operators.lookups import checked_lookup
 from fathomline.operators.nested import all_values, nest, nest_tables, only_value, unnest
 from fathomline.operators.order import ordinal, positions
 from fathomline.operators.relational import (
@@ -25,11 +27,12 @@ from fathomline.operators.spatial import join_points, points_in_cover, zone_cove
 from fathomline.plans.job_queries import INSIDE_SQL, mean_ci_sql, occurrence_files, summary_sql
 from fathomline.plans.layers import save_layer, with_geometry, without_geometry
 from fathomline.plans.native import native_presence
+from fathomline.plans.production import apportion_zones
 from fathomline.plans.registry import register, rounded
 from fathomline.plans.reports import mean_ci, six_number_summary
-from fathomline.plans.star_tables import StarTables
+from fathomline.plans.star_tables import UNIT, StarTables
 from fathomline.session import fresh_path
-from fathomline.sources import schemas
+from fathomline.sources import schemas, versions
 from fathomline.sources.enrich import constant_rows, enrich
 from fathomline.sources.geojson import read_layer, write_layer
 from fathomline.sources.occurrences import as_points, load_probabilities, off_globe, read_occurrences
@@ -203,6 +206,25 @@ def _(t):
     return current_table(t.spark, base, doubled.schema)
 
 
+@register(
+    "s10_refused_write",
+    """SELECT p_partkey, p_size * 2 AS p_size, 2 AS version FROM part
+       UNION ALL SELECT p_partkey, p_size, 1 FROM part""",
+)
+def _(t):
+    """Two versions; a third write that was made from the first one is refused and changes nothing."""
+    base = fresh_path(t.spark, "versions")
+    first = replace_table(t.table("part").select("p_partkey", "p_size"), base)
+    replace_table(first.withColumn("p_size", F.col("p_size") * 2), base, after=1)
+    try:
+        replace_table(first.withColumn("p_size", F.lit(0)), base, after=1)
+    except versions.Conflict:
+        pass
+    numbers = range(1, versions.last_version(t.spark, base) + 1)
+    read = [t.spark.read.schema(first.schema).parquet(versions.folder_of(t.spark, base, n)) for n in numbers]
+    return union_all(*[df.withColumn("version", F.lit(n)) for n, df in zip(numbers, read)])
+
+
 @register("s12_keyed_enrichment", "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def _(t):
     return enrich(t.table("documents").select("doc_id", "lang"), t.table("labels"), "doc_id")
@@ -743,6 +765,88 @@ def _(t):
     )
 
 
+# checked look-ups and corrections -----------------------------------------------------------------
+
+# nations as a look-up table in which the first three keys repeat and the last five lack
+_LOOSE_NATION = """(SELECT n_nationkey AS c_nationkey, n_name FROM nation WHERE n_nationkey < 20
+    UNION ALL SELECT n_nationkey, 'other ' || n_name FROM nation WHERE n_nationkey < 3)"""
+
+
+def _loose_nation(t: StarTables) -> DataFrame:
+    nation = t.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    again = nation.where("c_nationkey < 3").withColumn("n_name", F.concat(F.lit("other "), "n_name"))
+    return nation.where("c_nationkey < 20").unionByName(again)
+
+
+@register(
+    "j01_checked_lookup",
+    f"""SELECT c_custkey, c_nationkey, n_name FROM customer LEFT JOIN (
+          SELECT c_nationkey, min(n_name) AS n_name FROM {_LOOSE_NATION} GROUP BY c_nationkey) USING (c_nationkey)""",
+)
+def _(t):
+    customers = t.table("customer").select("c_custkey", "c_nationkey")
+    return checked_lookup(customers, _loose_nation(t), ["c_nationkey"], repeated="report").rows
+
+
+@register(
+    "j05_lookup_report",
+    f"""SELECT (SELECT count(DISTINCT c_nationkey) FROM {_LOOSE_NATION}) AS keys,
+               (SELECT count(*) FROM (SELECT c_nationkey FROM {_LOOSE_NATION} GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys,
+               count(*) AS rows, count(*) FILTER (c_nationkey < 20) AS matched, count(*) FILTER (c_nationkey >= 20) AS unmatched
+        FROM customer""",
+)
+def _(t):
+    """What the look-up has told by the pass that wrote its result."""
+    customers = t.table("customer").select("c_custkey", "c_nationkey")
+    looked = checked_lookup(customers, _loose_nation(t), ["c_nationkey"], repeated="report")
+    stage(looked.rows, "looked-up")
+    return t.spark.createDataFrame([looked.report()], "keys long, repeated_keys long, rows long, matched long, unmatched long")
+
+
+_CORRECTED = """
+    WITH base AS (SELECT species, zone, sum(zone_prod) AS prod FROM fx_apportioned GROUP BY species, zone),
+    patch AS (
+      SELECT 'Brand#' || (1 + n_nationkey) AS species, n_name AS zone, n_nationkey * 1.5::DOUBLE AS prod,
+             CASE n_nationkey % 3 WHEN 0 THEN 'set' WHEN 1 THEN 'add' ELSE 'remove' END AS op FROM nation),
+    both_ AS (
+      SELECT species, zone, op, b.prod AS old, p.prod AS new, b.prod IS NOT NULL AS present
+      FROM base b FULL JOIN patch p USING (species, zone))"""
+
+
+def _corrections(t: StarTables) -> tuple[DataFrame, DataFrame]:
+    """Production per species and zone, and corrections of all three kinds."""
+    apportioned = apportion_zones(t.unit_zone, UNIT)
+    base = apportioned.groupBy("species", "zone").agg(F.sum("zone_prod").alias("prod"))
+    key = F.col("n_nationkey")
+    patches = t.table("nation").select(
+        F.concat(F.lit("Brand#"), (key + 1).cast("string")).alias("species"),
+        F.col("n_name").alias("zone"),
+        (key * 1.5).cast("double").alias("prod"),
+        F.get(F.array(F.lit("set"), F.lit("add"), F.lit("remove")), key % 3).alias("op"),
+    )
+    return apply_corrections(base, patches, ["species", "zone"])
+
+
+@register(
+    "x05_corrected",
+    f"""SELECT * FROM ({_CORRECTED}
+        SELECT species, zone, round(CASE WHEN op = 'set' AND present THEN new ELSE coalesce(old, new) END, 6) AS prod
+        FROM both_ WHERE CASE WHEN present THEN op IS NULL OR op <> 'remove' ELSE op = 'add' END)""",
+)
+def _(t):
+    return rounded(_corrections(t)[0], "prod")
+
+
+@register(
+    "x05_corrections_account",
+    f"""SELECT * FROM ({_CORRECTED}
+        SELECT species, zone, op, CASE WHEN op = 'add' AND present THEN 'already there' WHEN op <> 'add' AND NOT present THEN 'no row'
+               ELSE 'applied' END AS outcome, CAST((op = 'add') <> present AS BIGINT) AS n_rows FROM both_ WHERE op IS NOT NULL)""",
+)
+def _(t):
+    return _corrections(t)[1]
+
+
 # spatial ------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from fathomline.sources import versions
 from fathomline.sources.schemas import RINGS
 
 _POLYGON = "array<array<array<double>>>"
@@ -40,10 +41,15 @@ def feature(attributes: list[str], rings: str = "rings", parts: str | None = Non
 
 
 def write_layer(df: DataFrame, path: str, rings: str = "rings") -> None:
-    """Write a layer, replacing what is at ``path``; a column ``parts`` keeps the parts of zones apart."""
+    """Write a layer as the next version at ``path``; a column ``parts`` keeps the parts of zones apart.
+
+    Until it has been written whole, readers see the version before it.
+    """
     attributes = [c for c in df.columns if c not in (rings, "parts")]
     parts = "parts" if "parts" in df.columns else None
-    df.select(feature(attributes, rings, parts).alias("value")).write.mode("overwrite").text(path)
+    folder = versions.new_folder(path)
+    df.select(feature(attributes, rings, parts).alias("value")).write.mode("error").text(folder)
+    versions.publish(df.sparkSession, path, folder)
 
 
 def _parts(geometry: Column) -> Column:
@@ -71,8 +77,12 @@ def _layer(features: DataFrame, properties: StructType) -> DataFrame:
 
 
 def read_layer(spark: SparkSession, path: str, properties: StructType) -> DataFrame:
-    """Scan a layer of one feature per line: the declared attributes, ``rings`` and ``parts`` (rings by part)."""
-    return _layer(spark.read.schema(_feature_type(properties)).json(path), properties)
+    """Scan a layer of one feature per line: the declared attributes, ``rings`` and ``parts`` (rings by part).
+
+    ``path`` is the latest version of what ``write_layer`` has written there, or plain files of such lines.
+    """
+    found = versions.current_folder(spark, path) if versions.last_version(spark, path) else path
+    return _layer(spark.read.schema(_feature_type(properties)).json(found), properties)
 
 
 def read_collection(spark: SparkSession, path: str | list[str], properties: StructType) -> DataFrame:

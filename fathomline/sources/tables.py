@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from fathomline.session import fresh_path
+from fathomline.sources import versions
 
 NULL_TEXT = "NA"
 
@@ -63,32 +62,19 @@ def tee_csv(df: DataFrame, path: str, name: str = "tee") -> DataFrame:
     return staged
 
 
-def _versions(spark: SparkSession, base: str) -> list[str]:
-    """Finished versions below ``base``, oldest first (a version without _SUCCESS was cut short)."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(base)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = [entry.getPath() for entry in fs.listStatus(folder)]
-    done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(p.toString() for p in done if p.getName().startswith("v"))
-
-
-def replace_table(df: DataFrame, base: str) -> DataFrame:
+def replace_table(df: DataFrame, base: str, after: int | None = None) -> DataFrame:
     """Store ``df`` as the next version of the table at ``base`` and return it.
 
-    ``df`` may read the current version: a version is a folder of its own, so nothing that is being
-    read is overwritten.
+    ``df`` may read the current version: a version is a folder of its own, so nothing that is being read is
+    overwritten. With ``after``, the version that ``df`` was made from, the write is refused if another one
+    has come since (``versions.Conflict``).
     """
-    spark = df.sparkSession
-    df.write.mode("error").parquet(f"{base}/v{time.time_ns():020d}")
-    return current_table(spark, base, df.schema)
+    folder = versions.new_folder(base)
+    df.write.mode("error").parquet(folder)
+    versions.publish(df.sparkSession, base, folder, after)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def current_table(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
-    """Scan the latest finished version of a table stored by ``replace_table``, under a declared schema."""
-    found = _versions(spark, base)
-    if not found:
-        raise FileNotFoundError(f"no finished version below {base}")
-    return spark.read.schema(schema).parquet(found[-1])
+    """Scan the latest version of a table stored by ``replace_table``, under a declared schema."""
+    return spark.read.schema(schema).parquet(versions.current_folder(spark, base))

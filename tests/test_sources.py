@@ -1,10 +1,11 @@
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline import session
-from fathomline.sources import schemas
+from fathomline.sources import schemas, versions
 from fathomline.sources.enrich import constant_rows, enrich
 from fathomline.sources.geojson import convert_collections, read_collection, read_layer, write_layer
 from fathomline.sources.occurrences import as_points, load_occurrences, load_probabilities, off_globe, read_occurrences
@@ -130,11 +131,51 @@ def test_replace_reads_the_old_version(spark, tmp_path):
         current_table(spark, base, schemas.fields("a:l"))
     first = replace_table(spark.range(3).toDF("a"), base)
     replace_table(first.withColumn("b", F.col("a") * 2), base)
-    os.mkdir(f"{base}/v99999999999999999999")  # a write that was cut short
+    os.mkdir(f"{base}/data-of-a-write-that-was-cut-short")
     declared = first.withColumn("b", F.col("a") * 2).schema
     assert rows(current_table(spark, base, declared)) == [(0, 0), (1, 2), (2, 4)]
 
 
+def test_a_broken_write_changes_nothing(spark, tmp_path):
+    base = str(tmp_path / "table")
+    replace_table(spark.range(3), base)
+    broken = spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken off")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken off"):
+        replace_table(broken, base)
+    assert rows(current_table(spark, base, spark.range(1).schema)) == [(0,), (1,), (2,)]
+    layer = spark.createDataFrame([("a", SQUARE)], "zone string, rings array<array<struct<x:double,y:double>>>")
+    path = str(tmp_path / "layer")
+    write_layer(layer, path)
+    torn = layer.withColumn("zone", F.raise_error(F.lit("torn")).cast("string"))
+    with pytest.raises(Exception, match="torn"):
+        write_layer(torn, path)
+    assert rows(read_layer(spark, path, schemas.fields("zone:s")).select("zone")) == [("a",)]
+
+
+def test_writers_at_once_give_a_version_each(spark, tmp_path):
+    base = str(tmp_path / "table")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: replace_table(spark.range(k, k + 1), base), range(6)))
+    assert versions.last_version(spark, base) == 6
+    read = [spark.read.parquet(versions.folder_of(spark, base, n)).first()[0] for n in range(1, 7)]
+    assert sorted(read) == list(range(6))
+    # a hint that is behind, or gone, costs a longer way up
+    (tmp_path / "table" / "_latest").write_text("2")
+    assert versions.last_version(spark, base) == 6
+    os.remove(tmp_path / "table" / "_latest")
+    assert versions.last_version(spark, base) == 6
+
+
+def test_a_write_based_on_an_old_version_is_refused(spark, tmp_path):
+    base = str(tmp_path / "table")
+    replace_table(spark.range(1), base)
+    replace_table(spark.range(2), base, after=1)
+    with pytest.raises(versions.Conflict):
+        replace_table(spark.range(3), base, after=1)
+    assert current_table(spark, base, spark.range(1).schema).count() == 2
+    assert replace_table(spark.range(4), base).count() == 4
+
+
 def test_enrich_and_constants(spark):
     keys = spark.createDataFrame([("a",), ("b",)], "species string")
     table = spark.createDataFrame([("a", 1), ("a", 2)], "species string, v int")
