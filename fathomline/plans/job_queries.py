@@ -58,7 +58,18 @@ def _(t):
         FROM ({_STAR}) WHERE environment = 'O' AND sci_name IN (SELECT species FROM ({_TOP}))""",
 )
 def _(t):
-    return production.study_production(_star(t), _top(t).select("species"), "O")
+    short = stage(_top_of_profile(t, _species_profile(t)), "top-species")
+    return production.study_of_profile(t.fact, t.dimensions, short, "O", SYNONYMS).drop(*KEYS)
+
+
+def _species_profile(t: StarTables) -> DataFrame:
+    """What screening and means need of the fact, stored: one pass over it for both."""
+    unit = ["sci_name", "spp_name", "major_group", "country", "area"]
+    return stage(production.production_profile(_star(t, zones=False), unit, "O", 1996), "species-profile")
+
+
+def _top_of_profile(t: StarTables, profile: DataFrame) -> DataFrame:
+    return production.top_of_profile(profile, "LARGE", 25.5, country="country", several="ring").select("species")
 
 
 @register(
@@ -70,9 +81,8 @@ def _(t):
               GROUP BY ALL HAVING avg(quantity) > 0)""",
 )
 def _(t):
-    unit = ["sci_name", "spp_name", "major_group", "country", "area"]
-    profile = stage(production.production_profile(_star(t, zones=False), unit, "O", 1996), "species-profile")
-    top = production.top_of_profile(profile, "LARGE", 25.5, country="country", several="ring").select("species")
+    profile = _species_profile(t)
+    top = _top_of_profile(t, profile)
     means = production.mean_of_profile(profile, top, ["country", "area"])
     coded = means.withColumn("_code", F.replace("country", F.lit("NATION_"), F.lit("")))
     numbered = production.numeric_code(coded, "_code", "country_num").drop("_code")
@@ -385,6 +395,36 @@ def overall_risk_query(t):
     return rounded(t.risk, *_PROD, *_SCORES)
 
 
+# the native table of the points in place of the flag of the fact
+_NATIVE_POINTS = {
+    "fx_native": f"""SELECT DISTINCT species, zone FROM (SELECT zone, species FROM ({_PRESENCE})
+        UNION ALL SELECT 'NATION_3', unnest(['Brand#26', 'Brand#27', 'Brand#28'])) WHERE species <> 'Brand#9'"""
+}
+
+
+@register(
+    "x22_risk_from_points",
+    f"""SELECT province, zone, realm, n_total, CAST(n_introduced AS BIGINT) AS n_introduced,
+               CAST(n_native AS BIGINT) AS n_native, {rounded_sql(*_PROD, *_SCORES)} FROM fx_risk""",
+    _NATIVE_POINTS,
+)
+def _(t):
+    """The whole chain: points to zones to native table to labelled production to the three scores."""
+    profile = stage(scores.zone_species_profile(_status_from_points(t)), "points-profile")
+    risk = scores.overall_risk_of(scores.zone_scores(profile, t.index, t.carriers), t.zones)
+    return rounded(risk, *_PROD, *_SCORES)
+
+
+@register(
+    "x20_invasive_from_points",
+    "SELECT zone, round(invasive_score, 6) AS invasive_score FROM fx_invasive",
+    _NATIVE_POINTS,
+)
+def _(t):
+    profile = scores.zone_species_profile(_status_from_points(t))
+    return rounded(scores.invasive_score_of(profile, t.index), "invasive_score")
+
+
 @register(
     "x23_score_layer",
     f"""SELECT zone, n_total, n_introduced, n_native, {rounded_sql(*_PROD, *_SCORES)}, province, realm,
@@ -485,6 +525,22 @@ def _(t):
     return rounded(reports.mean_ci(t.scores, ["n_total", "n_native", "prod_total"]), *_CI)
 
 
+_PER_SPECIES = "(SELECT species, count(DISTINCT agent) AS agents_per_species FROM fx_agent GROUP BY species)"
+_PER_ZONE = "(SELECT zone, n_pathogen AS agents_per_zone FROM fx_pathogens)"
+
+
+@register("x28_agents_per_species", mean_ci_sql(_PER_SPECIES, ["agents_per_species"]))
+def _(t):
+    counted = pathogens.agents_per_species(t.agents).withColumnRenamed("n_agents", "agents_per_species")
+    return rounded(reports.mean_ci(counted, ["agents_per_species"]), *_CI)
+
+
+@register("x28_agents_per_zone", mean_ci_sql(_PER_ZONE, ["agents_per_zone"]))
+def _(t):
+    counted = scores.agents_of(t.zone_profile, t.carriers).withColumnRenamed("n_pathogen", "agents_per_zone")
+    return rounded(reports.mean_ci(counted, ["agents_per_zone"]), *_CI)
+
+
 def _top_sql(group: str, score: str, n: int) -> str:
     return f"""SELECT {group}, zone, round("{score}", 6) AS "{score}" FROM (
         SELECT *, rank() OVER (PARTITION BY {group} ORDER BY "{score}" DESC) AS k FROM fx_risk) WHERE k <= {n}"""

@@ -123,15 +123,19 @@ VIEWS = {
 }
 
 
-def with_views(select: str) -> str:
-    """``select`` with a WITH list of the views it names, directly or through another view."""
+def with_views(select: str, instead: dict[str, str] | None = None) -> str:
+    """``select`` with a WITH list of the views it names, directly or through another view.
+
+    ``instead`` gives some of the views another body.
+    """
+    bodies = VIEWS | (instead or {})
     needed: set[str] = set()
     open_texts = [select]
     while open_texts:
         found = set(re.findall(r"\bfx_\w+", open_texts.pop())) - needed
         needed |= found
-        open_texts += [VIEWS[name] for name in found]
+        open_texts += [bodies[name] for name in found]
     if not needed:
         return select
-    listed = ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items() if name in needed)
+    listed = ",\n".join(f"{name} AS ({body})" for name, body in bodies.items() if name in needed)
     return f"WITH {listed}\n{select}"

@@ -96,6 +96,28 @@ def study_production(star: DataFrame, species: DataFrame, environment: object =
     return keep_members(rows, species.withColumnRenamed("species", "study_species"), "study_species")
 
 
+def study_of_profile(
+    fact: DataFrame,
+    dimensions: list[tuple[DataFrame, str]],
+    species: DataFrame,
+    environment: object = fixed.MARINE,
+    synonyms: dict[str, str] | None = None,
+) -> DataFrame:
+    """``study_production`` for a short list of species, the first dimension being that of the species.
+
+    The species table is cut down to the list first, so the fact loses the other rows at its first join and
+    not after the whole star.
+    """
+    (named, key), *others = dimensions
+    names = fixed.PRODUCTION_SYNONYMS if synonyms is None else synonyms
+    recoded = named.withColumn("study_species", recode("sci_name", names)).drop("sci_name")
+    chosen = keep_members(recoded, species.withColumnRenamed("species", "study_species"), "study_species")
+    rows = join_on(fact.where(F.col("environment") == environment), chosen, key, "inner")
+    for table, other in others:
+        rows = join_on(rows, table, other, "left")
+    return rows
+
+
 def mean_production(
     production: DataFrame, by: list[str], year_after: int = fixed.MEAN_YEAR_AFTER, quantity: str = "quantity"
 ) -> DataFrame:

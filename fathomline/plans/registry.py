@@ -14,8 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Register a function from ``StarTables`` to a DataFrame under ``name``."""
+def register(name: str, sql: str | None = None, views: dict[str, str] | None = None):
+    """Register a function from ``StarTables`` to a DataFrame under ``name``; ``views`` stand in for others in its SQL."""
 
     def add(build: Callable[[StarTables], DataFrame]):
         def run(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = with_views(sql, views)
         return build
 
     return add

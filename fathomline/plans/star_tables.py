@@ -12,9 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.plans.native import status_label
 from fathomline.plans.production import apportion_zones
-from fathomline.plans.pathogens import pathogenic_score, pathogens_by_zone
-from fathomline.plans.scores import overall_risk, zone_production_scores
-from fathomline.plans.traits import invasive_score, trait_index
+from fathomline.plans.pathogens import pathogenic_score
+from fathomline.plans.scores import (
+    agents_of,
+    invasive_score_of,
+    label_unit_zones,
+    overall_risk_of,
+    production_scores_of,
+    zone_scores,
+    zone_species_profile,
+)
+from fathomline.plans.traits import trait_index
 from fathomline.sources.tables import stage
 
 UNIT = ["species", "country", "area"]
@@ -131,16 +139,20 @@ class StarTables:
         stored result and not the fact. Grouped by nation keys: their names are looked up afterwards, on
         the groups.
         """
+        *_, country, zone = self.dimensions
+        profile = self._unit_zones()
+        return stage(self._joined(profile, [country, zone]), "profile")
+
+    def _unit_zones(self) -> DataFrame:
         marine, year, quantity = F.col("environment") == "O", F.col("yr"), F.col("quantity")
         averaged = marine & (year > 1996)
-        *tables, country, zone = self.dimensions
-        profile = self._joined(self.fact, tables).groupBy("species", "s_nationkey", "c_nationkey").agg(
+        *tables, _, _ = self.dimensions
+        return self._joined(self.fact, tables).groupBy("species", "s_nationkey", "c_nationkey").agg(
             F.sum(F.when(averaged, quantity)).alias("total"),
             F.count(F.when(averaged, quantity)).alias("n"),
             F.max(marine & (year > 1999) & (quantity >= 45)).alias("farmed"),
             F.max((F.col("environment") == "F") & (year < 1997) & (quantity >= 49)).alias("native"),
         )
-        return stage(self._joined(profile, [country, zone]), "profile")
 
     @cached_property
     def unit(self) -> DataFrame:
@@ -229,12 +241,15 @@ class StarTables:
     # pathogens and traits -------------------------------------------------------------------------
 
     @cached_property
-    def agents(self) -> DataFrame:
+    def carriers(self) -> DataFrame:
+        """Associations as they come, with repeats."""
         agent = F.concat_ws("-", "p_type", (F.col("p_size") % 10).cast("string"))
         carriers = self.table("part").where(~F.col("p_brand").isin("Brand#1", "Brand#2"))
-        return carriers.select(
-            F.col("p_brand").alias("species"), agent.alias("agent"), F.col("p_type").alias("taxon")
-        ).distinct()
+        return carriers.select(F.col("p_brand").alias("species"), agent.alias("agent"), F.col("p_type").alias("taxon"))
+
+    @cached_property
+    def agents(self) -> DataFrame:
+        return self.carriers.distinct()
 
     @cached_property
     def traits(self) -> DataFrame:
@@ -256,22 +271,31 @@ class StarTables:
 
     # scores ---------------------------------------------------------------------------------------
 
+    @cached_property
+    def zone_profile(self) -> DataFrame:
+        """Labelled production per (zone, species), stored: all scores are aggregates of it.
+
+        Straight from the fact, by nation keys; the zones get their names last.
+        """
+        labelled = label_unit_zones(self._unit_zones(), ["species", "s_nationkey"], "c_nationkey")
+        profile = zone_species_profile(labelled, zone="c_nationkey")
+        return stage(self._joined(profile, self.dimensions[-1:]), "zone-profile")
+
     @cached_property
     def scores(self) -> DataFrame:
-        """Stored, as both other scores read it."""
-        return stage(zone_production_scores(self.status), "scores")
+        return production_scores_of(self.zone_profile)
 
     @cached_property
     def invasive(self) -> DataFrame:
-        return invasive_score(self.status, self.index, self.scores)
+        return invasive_score_of(self.zone_profile, self.index)
 
     @cached_property
     def pathogenic(self) -> DataFrame:
-        return pathogenic_score(pathogens_by_zone(self.status, self.agents), self.scores)
+        return pathogenic_score(agents_of(self.zone_profile, self.carriers), self.scores)
 
     @cached_property
     def risk(self) -> DataFrame:
-        return overall_risk(self.scores, self.invasive, self.pathogenic, self.zones)
+        return overall_risk_of(zone_scores(self.zone_profile, self.index, self.carriers), self.zones)
 
     @cached_property
     def staged_risk(self) -> DataFrame:

@@ -8,7 +8,7 @@ from fathomline.functions.aggregates import first_by, mean_present, mean_strict,
 from fathomline.functions.scalars import log10_plus1, mean_of, reciprocal
 from fathomline.operators.components import principal_components
 from fathomline.operators.relational import join_on
-from fathomline.operators.rescale import impute_mean, minmax
+from fathomline.operators.rescale import table_value
 from fathomline.plans.native import INTRODUCED
 from fathomline.sources.enrich import enrich
 
@@ -16,9 +16,16 @@ from fathomline.sources.enrich import enrich
 def trait_index(traits: DataFrame) -> DataFrame:
     """Mean of growth rate, trophic level and maximum length, each rescaled to 0 .. 1; a missing growth
     rate takes the mean of the others. One row per species."""
-    filled = impute_mean(traits, "k")
-    scaled = minmax(filled, {"_k": "k", "_troph": "troph", "_length": "max_length"}, skip_null=False)
-    return scaled.withColumn("eco_ind", mean_of("_k", "_troph", "_length")).drop("_k", "_troph", "_length")
+    # the mean of k lies between its least and largest value, so filling it in does not change its range, and
+    # one row of aggregates serves for both; a null in one of the others leaves that column without a range
+    ranged = {"k": F.lit(True), "troph": F.count_if(F.col("troph").isNull()) == 0, "max_length": F.count_if(F.col("max_length").isNull()) == 0}
+    figures = [F.avg("k").alias("mean_k")]
+    for c, usable in ranged.items():
+        figures += [F.when(usable, F.min(c)).alias(f"lo_{c}"), F.when(usable, F.max(c)).alias(f"hi_{c}")]
+    with_figures = traits.withColumn("_f", table_value(traits, F.struct(*figures)))
+    filled = with_figures.withColumn("k", F.coalesce("k", "_f.mean_k"))
+    scaled = [F.try_divide(F.col(c) - F.col(f"_f.lo_{c}"), F.col(f"_f.hi_{c}") - F.col(f"_f.lo_{c}")) for c in ranged]
+    return filled.withColumn("eco_ind", mean_of(*scaled)).drop("_f")
 
 
 def trait_production(index: DataFrame, unit_zone: DataFrame) -> DataFrame:
