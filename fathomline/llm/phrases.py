@@ -27,7 +27,7 @@ DEPTH = 5
 LEAST = 100
 TOP = 2000
 # Words of a block, the unit in which equal suffixes are combined before the shuffle.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 3 << 18
 # Bytes of an Arrow batch of blocks, which are a megabyte or two each.
 BATCH_BYTES = 4 << 20
 # Suffixes of a group on average; a prefix that may have more than a quarter of it is extended by another word.
