@@ -23,6 +23,7 @@ from fathomline.plans.scores import (
     zone_species_profile,
 )
 from fathomline.plans.traits import trait_index
+from fathomline.session import folder_bytes, size_shuffles
 from fathomline.sources.tables import stage
 
 UNIT = ["species", "country", "area"]
@@ -76,10 +77,15 @@ class StarTables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._tables: dict[str, DataFrame] = {}
+        self._bytes = 0
 
     def table(self, name: str) -> DataFrame:
+        """A table; shuffles are sized by those that have been asked for."""
         if name not in self._tables:
-            self._tables[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+            file = f"{self.path}/{name}.parquet"
+            self._tables[name] = self.spark.read.schema(SCHEMAS[name]).parquet(file)
+            self._bytes += folder_bytes(self.spark, file)
+            size_shuffles(self.spark, self._bytes)
         return self._tables[name]
 
     # production -----------------------------------------------------------------------------------

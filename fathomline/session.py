@@ -26,19 +26,24 @@ INPUT_PER_PARTITION = 4 * 1024**3
 
 
 def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Apply ``RUNTIME_DEFAULTS`` to a session built elsewhere.
-
-    With the size of the input, shuffles start from enough partitions for it; adaptive execution merges
-    those that turn out small. 100 TB gives about 25,000.
-    """
+    """Apply ``RUNTIME_DEFAULTS`` to a session built elsewhere, where they are not in force yet."""
     for key, value in RUNTIME_DEFAULTS.items():
-        spark.conf.set(key, value)
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(least, math.ceil(input_bytes / INPUT_PER_PARTITION))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    size_shuffles(spark, input_bytes)
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Let shuffles start from enough partitions for an input of this size; adaptive execution merges those
+    that turn out small. 100 TB gives about 25,000."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = str(max(least, math.ceil(input_bytes / INPUT_PER_PARTITION)))
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(key, None) != partitions:
+        spark.conf.set(key, partitions)
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files below a path, from the file system's own summary."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
