@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import map_batches, mix, word_hashes
+from fathomline.llm.words import drawn, map_batches, mix, refuse, word_hashes
+from fathomline.sources.tables import stage
 
 # Documents of the training sample; everything else of the learning side is only counted.
 POSITIVES = 3_000
@@ -175,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
 
     ``labels`` has doc_id and toxic; toxic = 1 confirms a positive, the share of 1 among the learnable
     labels is the prior. Nulls in either are no label. The training sample is bounded by ``POSITIVES``
-    and ``UNLABELLED``, drawn by a hash of the id, so the ids sent to the scan are few at any size.
+    and ``UNLABELLED`` documents, drawn by a hash of the id, so the ids sent to the scan are few at any size;
+    of rows that repeat an id, only so many come to the driver as the bounds allow.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_doc"), F.col("toxic").alias("_toxic"))
     known = known.where("_doc IS NOT NULL AND _toxic IS NOT NULL").where(learn(F.col("_doc")))
@@ -196,7 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(sample), F.col("doc_id") == F.col("_doc")
     )
-    rows = texts.select("positive", "text").transform(map_batches, _present, "positive boolean, words binary").collect()
+    present = stage(texts.select("positive", "text").transform(map_batches, _present, "positive boolean, words binary"), "toxic-sample")
+    # an id may stand for any number of rows: the bounds hold for what is collected
+    bounded = drawn(present.where("positive"), POSITIVES, "words").unionByName(drawn(present.where("NOT positive"), UNLABELLED, "words"))
+    rows = bounded.collect()
     sets = [(r.positive, np.frombuffer(r.words, np.uint64)) for r in rows]
     order = sorted(range(len(sets)), key=lambda k: (not sets[k][0], len(sets[k][1]), bytes(rows[k].words[:64])))
     return train([sets[k][1] for k in order if sets[k][0]], [sets[k][1] for k in order if not sets[k][0]], prior)
@@ -205,7 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``score``, the chance that the text is toxic.
 
-    A null or empty text has no features and gets the score of the bias, the same for all of them.
+    A null or empty text has no features and gets the score of the bias, the same for all of them. Texts are
+    read whole, however long; repeated rows are scored alike; an empty table stays empty. ``keep`` may name any
+    columns but ``score``.
     """
+    refuse(keep, "score")
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     return rows.transform(map_batches, _scores(model), StructType([docs.schema[c] for c in keep]).add("score", "double"))

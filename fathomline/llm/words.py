@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 # Rows of an Arrow batch on their way to a task: texts of some kilobytes make a few megabytes.
@@ -30,6 +30,19 @@ def map_batches(df: DataFrame, work: Callable, schema: str | StructType) -> Data
     return df.mapInArrow(work, schema)
 
 
+def drawn(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows, those of the smallest hashes of ``columns``: a sample whose bound holds whatever the
+    rows repeat."""
+    return rows.orderBy(F.xxhash64(*columns), *columns).limit(n)
+
+
+def refuse(keep: tuple[str, ...], *names: str) -> None:
+    """Columns that a result is to keep must not have the names of its own."""
+    clash = sorted(set(keep) & set(names))
+    if clash:
+        raise ValueError(f"columns to keep are named as columns of the result: {clash}")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes half of the output bits."""
     x = x ^ (x >> np.uint64(30))
