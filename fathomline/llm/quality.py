@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import map_batches
+from fathomline.llm.words import drawn, map_batches, refuse
+from fathomline.sources.tables import stage
 
 # Labelled documents of each class for the dictionaries, and as many for the calibration.
 SAMPLE = 1_500
-# Of a document of the dictionary sample at most so many pieces of so many bytes, drawn over all of it.
-PIECES, PIECE_BYTES = 4, 4096
+# The texts of the dictionary sample are cut into pieces of so many bytes; of each class at most so many pieces
+# of all its texts together are trained on.
+PIECES, PIECE_BYTES = 4 * SAMPLE, 4096
 DICTIONARY_BYTES = 32_768
 BLOCK_BYTES = 512
 LEVEL = 3
@@ -72,7 +74,7 @@ def _differences(good: bytes, bad: bytes):
             texts = batch.column(batch.num_columns - 1)
             x = [difference((t.as_py() or "").encode(), one, two) for t in texts]
             yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(x, pa.float64())], names=[*batch.schema.names[:-1], "difference"]
+                [*batch.columns[:-1], pa.array(x, pa.float64())], names=[*batch.schema.names[:-1], "_difference"]
             )
 
     return run
@@ -83,10 +85,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, out = [], []
         for quality, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = (text.as_py() or "").encode()
-            starts = range(0, len(data), PIECE_BYTES)
-            drawn = np.random.default_rng(len(data)).permutation(len(starts))[:PIECES]
-            for k in sorted(drawn):
-                labels.append(quality), out.append(data[starts[k] : starts[k] + PIECE_BYTES])
+            for start in range(0, len(data), PIECE_BYTES):
+                labels.append(quality), out.append(data[start : start + PIECE_BYTES])
         yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["quality", "piece"])
 
 
@@ -108,19 +108,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
     """Train on labelled documents for whose id ``learn`` holds; null labels and ids are none.
 
     The training sample is bounded: ``SAMPLE`` documents of each class for the dictionaries and as many for
-    the curve, drawn by a hash of the id. Without documents of both classes the score is their share.
+    the curve, drawn by a hash of the id; ``PIECES`` pieces of each class, of any of its texts and any place in
+    them, and twice ``SAMPLE`` size differences come to the driver, whatever repeats. Without documents of both classes the score is their share.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_doc"), F.col("quality").cast("int").alias("quality"))
     known = known.where("_doc IS NOT NULL AND quality IN (0, 1)").where(learn(F.col("_doc"))).distinct()
     parts = []
     for quality in (0, 1):
-        drawn = known.where(F.col("quality") == quality).orderBy(F.xxhash64("_doc"), "_doc").limit(2 * SAMPLE)
-        parts.append(drawn)
+        part = known.where(F.col("quality") == quality).orderBy(F.xxhash64("_doc"), "_doc").limit(2 * SAMPLE)
+        parts.append(part)
     sample = parts[0].unionByName(parts[1]).withColumn("use", F.pmod(F.xxhash64("_doc", F.lit(7)), F.lit(2)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(sample), F.col("doc_id") == F.col("_doc")  # at most four samples of a few bytes a row
     )
-    rows = texts.where("use = 0").select("quality", "text").transform(map_batches, _pieces, "quality int, piece binary").collect()
+    cut = texts.where("use = 0").select("quality", "text").transform(map_batches, _pieces, "quality int, piece binary")
+    cut = stage(cut, "quality-pieces")
+    # an id may stand for any number of rows, and a text may be long: the bounds hold for what is collected
+    rows = [r for q in (0, 1) for r in drawn(cut.where(F.col("quality") == q), PIECES, "piece").collect()]
     pieces = {q: sorted(bytes(r.piece) for r in rows if r.quality == q) for q in (0, 1)}
     total, ones = known.agg(F.count("*"), F.sum("quality")).first()
     share = (ones + 1) / (total + 2) if total else 0.5
@@ -129,9 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
     good, bad = _dictionary(pieces[1]), _dictionary(pieces[0])
     rest = texts.where("use = 1").select("quality", "text").transform(
         map_batches,
-        _differences(good, bad), "quality int, difference double"
+        _differences(good, bad), "quality int, _difference double"
     )
-    found = sorted((r.difference, r.quality) for r in rest.collect())
+    rest = stage(rest, "quality-differences")
+    curve = [r for q in (0, 1) for r in drawn(rest.where(F.col("quality") == q), 2 * SAMPLE, "_difference").collect()]
+    found = sorted((r["_difference"], r.quality) for r in curve)
     x, y = np.array([r[0] for r in found]), np.array([r[1] for r in found])
     if not len(x) or y.min() == y.max():
         return Model(None, None, 0.0, float(np.log(share / (1 - share))))
@@ -141,13 +147,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column]) -
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``score``, the chance that the text is good.
 
-    The whole text is compressed. A null or empty text differs by 0, so all of them get the same score.
+    The whole text is compressed, however long. A null or empty text differs by 0, so all of them get the same
+    score; repeated rows are scored alike; an empty table stays empty. ``keep`` may name any columns but
+    ``score``.
     """
+    refuse(keep, "score")
     kept = StructType([docs.schema[c] for c in keep])
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     if model.good is None:
-        found = rows.withColumn("difference", F.lit(0.0)).drop("_text")
+        found = rows.withColumn("_difference", F.lit(0.0)).drop("_text")
     else:
-        found = rows.transform(map_batches, _differences(model.good, model.bad), kept.add("difference", "double"))
-    z = F.col("difference") * model.slope + model.offset
+        found = rows.transform(map_batches, _differences(model.good, model.bad), kept.add("_difference", "double"))
+    z = F.col("_difference") * model.slope + model.offset
     return found.select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
