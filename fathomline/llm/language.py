@@ -13,17 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import map_batches, mix
+from fathomline.llm.words import map_batches, mix, refuse
+from fathomline.sources.tables import stage
 
 BUCKETS = 1 << 15
 LONGEST = 3
 # Documents of each language in the training sample, one in HELD of which only calibrates.
 SAMPLE = 1_500
 HELD = 5
+# Documents of all languages together: with more than 40 languages each gets fewer.
+TOTAL = 60_000
 # Features of a document of the training sample: all distinct ones; pieces of long texts are not left out.
 PASSES = 3
 ALPHA, BETA, LASSO, RIDGE = 0.5, 1.0, 0.02, 0.01
@@ -156,7 +159,7 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column]) -> Model:
     """Train on documents for whose id ``learn`` holds; rows without id, text or lang are left out.
 
     Document frequencies cover all of them; the sample for the weights is bounded to ``SAMPLE`` documents
-    of each language, drawn by a hash of the id.
+    of each language and ``TOTAL`` of all, drawn by a hash of the id, whatever repeats.
     """
     known = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
@@ -173,18 +176,18 @@ def fit(docs: DataFrame, learn: Callable[[Column], Column]) -> Model:
     languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    parts = [
-        known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        for lang in languages
-    ]
-    drawn = parts[0]
-    for part in parts[1:]:
-        drawn = drawn.unionByName(part)
-    chosen = known.join(F.broadcast(drawn.withColumnRenamed("doc_id", "_doc").distinct()), F.col("doc_id") == F.col("_doc"))
-    rows = chosen.select("doc_id", "lang", "text").transform(
-        map_batches,
-        _vectors(idf), "doc_id long, lang string, at binary, x binary"
-    ).collect()
+    share = max(1, min(SAMPLE, TOTAL // len(languages)))
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # one pass for all languages; each task keeps its first of every language before the shuffle
+    ids = known.select("lang", "doc_id").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= share)
+    chosen = known.join(F.broadcast(ids.select(F.col("doc_id").alias("_doc")).distinct()), F.col("doc_id") == F.col("_doc"))
+    vectors = stage(
+        chosen.select("doc_id", "lang", "text").transform(map_batches, _vectors(idf), "doc_id long, lang string, at binary, x binary"),
+        "language-sample",
+    )
+    # an id may stand for any number of rows: the bound holds for what is collected
+    again = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "at", "x")
+    rows = vectors.withColumn("_k", F.row_number().over(again)).where(F.col("_k") <= share).drop("_k").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r["at"]), bytes(r.x)))
     vectors = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r.x, np.float32).astype(float)) for r in rows]
     classes = np.array([languages.index(r.lang) for r in rows], dtype=np.int64)
@@ -198,8 +201,10 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs``, ``lang_pred`` and ``score``, the calibrated chance of that language.
 
     A null text, one without letters and every text of a model without languages is ``und`` with score 0.
-    Of equally likely languages the first in alphabetical order wins.
+    Of equally likely languages the first in alphabetical order wins. Texts are read whole, however long;
+    repeated rows get the same; an empty table stays empty. ``keep`` may name any columns but those two.
     """
+    refuse(keep, "lang_pred", "score")
     used = np.flatnonzero(np.abs(model.weights).sum(axis=1)) if model.languages else np.zeros(0, np.int64)
     # only the rows of features in use travel
     place = np.full(BUCKETS, -1, dtype=np.int32)
