@@ -133,3 +133,92 @@ def test_vocabulary_covers_uppercase_words():
     batch = pa.array(["Some WORD", "some word"])
     first, second = toxicity._distinct_words(batch)
     assert first.tolist() == second.tolist()
+
+
+def test_samples_stay_within_their_bounds(spark, monkeypatch):
+    """Thousands of rows under one id: no more comes to the driver than the bounds say."""
+    one = [(1, f"word{k} vilemoron same id {k % 7}", "aa") for k in range(4000)]
+    docs = spark.createDataFrame(one + [(k, f"other words {k}", "zz") for k in range(2, 60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, int(k == 1)) for k in range(1, 60)], "doc_id long, quality int, toxic int")
+    anything = lambda i: F.lit(True)
+    seen = {}
+    monkeypatch.setattr(toxicity, "POSITIVES", 300)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 500)
+    monkeypatch.setattr(toxicity, "train", lambda a, b, prior: seen.update(toxic=(len(a), len(b))))
+    toxicity.fit(docs, labels, anything)
+    assert seen["toxic"] == (300, 500)
+    monkeypatch.setattr(language, "SAMPLE", 100)
+    held = language.train
+    monkeypatch.setattr(language, "train", lambda d, c, n: seen.update(lang=len(d)) or held(d, c, n))
+    language.fit(docs, anything)
+    assert 100 <= seen["lang"] <= 200
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    monkeypatch.setattr(quality, "PIECES", 80)
+    made, fitted = quality._dictionary, quality._logistic
+    monkeypatch.setattr(quality, "_dictionary", lambda p: seen.setdefault("pieces", []).append(len(p)) or made(p))
+    monkeypatch.setattr(quality, "_logistic", lambda x, y: seen.update(curve=len(x)) or fitted(x, y))
+    quality.fit(docs, labels, anything)
+    assert max(seen["pieces"]) <= 80 and seen.get("curve", 0) <= 200
+
+
+def test_long_texts_are_sampled_at_any_place(spark):
+    """Pieces of a long text come from all over it."""
+    text = "".join(f"{k:08d}" for k in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([text])], names=["quality", "text"])
+    pieces = [p for b in quality._pieces(iter([batch])) for p in b.column("piece").to_pylist()]
+    assert b"".join(pieces) == text.encode()
+
+
+def test_kept_columns_must_not_clash(spark, corpus):
+    docs, labels = corpus
+    for name, call in (
+        ("score", lambda k: toxicity.score(docs, toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.1), k)),
+        ("score", lambda k: quality.score(docs, quality.Model(None, None, 0.0, 0.0), k)),
+        ("lang_pred", lambda k: language.predict(docs, language.Model([], np.zeros(1), np.zeros((1, 0)), np.zeros(0), 1.0), k)),
+    ):
+        with pytest.raises(ValueError, match=name):
+            call(name)
+    other = docs.drop("score").withColumn("difference", F.lit("clash"))
+    model = quality.fit(docs, labels, _learn)
+    assert {r.difference for r in quality.score(other, model, "doc_id", "difference").collect()} == {"clash"}
+
+
+def test_gradients_and_updates_against_plain_loops():
+    """FTRL-proximal with elastic net, one coordinate at a time."""
+    rng = np.random.default_rng(5)
+    docs = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5)) for _ in range(30)]
+    classes = rng.integers(0, 3, 30)
+    weights, bias = language.train(docs, classes, 3)
+    z, g2 = {}, {}
+
+    def weight(i, c):
+        lasso = 0.0 if i == language.BUCKETS else language.LASSO
+        v = z.get((i, c), 0.0)
+        if abs(v) <= lasso:
+            return 0.0
+        return -(v - np.sign(v) * lasso) / ((language.BETA + np.sqrt(g2.get((i, c), 0.0))) / language.ALPHA + language.RIDGE)
+
+    for turn in range(language.PASSES):
+        for k in np.random.default_rng(turn).permutation(len(docs)):
+            terms = [*zip(docs[k][0].tolist(), docs[k][1].tolist()), (language.BUCKETS, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in terms for c in range(3)}
+            scores = np.array([sum(x * w[i, c] for i, x in terms) for c in range(3)])
+            p = np.exp(scores - scores.max())
+            p /= p.sum()
+            for i, x in terms:
+                for c in range(3):
+                    g = x * (p[c] - (classes[k] == c))
+                    sigma = (np.sqrt(g2.get((i, c), 0.0) + g * g) - np.sqrt(g2.get((i, c), 0.0))) / language.ALPHA
+                    z[i, c] = z.get((i, c), 0.0) + g - sigma * w[i, c]
+                    g2[i, c] = g2.get((i, c), 0.0) + g * g
+    assert bias == pytest.approx([weight(language.BUCKETS, c) for c in range(3)])
+    for i in range(40):
+        assert weights[i] == pytest.approx([weight(i, c) for c in range(3)], abs=1e-12)
+
+
+def test_block_sizes_against_plain_compression():
+    good, bad = quality._compressor(b"good words here " * 60), quality._compressor(b"#$% bad ### noise " * 60)
+    text = ("some good words here and ### noise " * 80).encode()
+    blocks = [text[i : i + quality.BLOCK_BYTES] for i in range(0, len(text), quality.BLOCK_BYTES)]
+    a, b = sum(len(good.compress(x)) for x in blocks), sum(len(bad.compress(x)) for x in blocks)
+    assert quality.difference(text, good, bad) == (b - a) / (b + a)
