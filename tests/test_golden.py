@@ -1,8 +1,10 @@
 """The chain of jobs on the published tables, against the published results.
 
-``GOLDEN_DIR`` names the folder of those tables; they are read in place, never copied. Skipped when it is unset.
+``GOLDEN_TABLES`` is a JSON object from the roles in ``LAYOUTS`` to the CSV files that play them; they are read in
+place, never copied. Skipped when it is unset.
 """
 
+import json
 import os
 
 import pytest
@@ -12,31 +14,36 @@ from fathomline.plans.native import status_label
 from fathomline.plans.pathogens import pathogenic_score
 from fathomline.plans.production import apportion_zones
 from fathomline.plans.reports import province_means, six_number_summary, status_totals
-from fathomline.plans.scores import overall_risk, production_scores_of, zone_production_scores, zone_species_profile
-from fathomline.plans.scores import invasive_score_of
+from fathomline.plans.scores import (
+    invasive_score_of,
+    overall_risk,
+    production_scores_of,
+    zone_production_scores,
+    zone_species_profile,
+)
 from fathomline.plans.traits import trait_index
 from fathomline.sources.schemas import fields
 from fathomline.sources.tables import read_csv, stage
 
-FOLDER = os.environ.get("GOLDEN_DIR", "")
-pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="GOLDEN_DIR is not set")
+FILES = json.loads(os.environ.get("GOLDEN_TABLES", "{}"))
+pytestmark = pytest.mark.skipif(not FILES, reason="GOLDEN_TABLES is not set")
 
 _UNIT = "country_name:s, species:s, area:i, iso3:s, country:i, mean_prod:d, country_num:i, zone:s"
 UNIT = ["species", "country_name", "area", "iso3", "country"]
 LAYOUTS = {
-    "production_country_data_ecoreg_manual": _UNIT,
-    "mean_prod_ecoreg": f"{_UNIT}, n_zones:i, zone_prod:d",
-    "prod_all_status": f"{_UNIT}, n_zones:i, zone_prod:d, status:s, introduced:i, native:i",
-    "estimates_fishbase": "species:s, max_length:d, troph:d, k:d, eco_ind:d",
-    "disease_data_ecoreg": "zone:s, n_pathogen:l",
-    "prod_all_status_scores": "zone:s, n_total:l, n_introduced:l, n_native:l, prod_total:d, prod_native:d, prod_introduced:d, genetic_score:d",
-    "std_scores": "province:s, zone:s, realm:s, n_total:l, n_introduced:l, n_native:l, prod_total:d, prod_native:d, "
+    "unit_zones": _UNIT,
+    "apportioned": f"{_UNIT}, n_zones:i, zone_prod:d",
+    "status": f"{_UNIT}, n_zones:i, zone_prod:d, status:s, introduced:i, native:i",
+    "traits": "species:s, max_length:d, troph:d, k:d, eco_ind:d",
+    "pathogens": "zone:s, n_pathogen:l",
+    "zone_scores": "zone:s, n_total:l, n_introduced:l, n_native:l, prod_total:d, prod_native:d, prod_introduced:d, genetic_score:d",
+    "risk": "province:s, zone:s, realm:s, n_total:l, n_introduced:l, n_native:l, prod_total:d, prod_native:d, "
     "prod_introduced:d, Genetic:d, Invasive:d, Diseases:d, Overall:d",
 }
 
 
 def _table(spark, name):
-    return read_csv(spark, f"{FOLDER}/{name}.csv", fields(LAYOUTS[name]))
+    return read_csv(spark, FILES[name], fields(LAYOUTS[name]))
 
 
 def _same(got, expected, keys, figures, tolerance=1e-6):
@@ -50,22 +57,22 @@ def _same(got, expected, keys, figures, tolerance=1e-6):
 
 @pytest.fixture(scope="module")
 def status(spark):
-    return _table(spark, "prod_all_status")
+    return _table(spark, "status")
 
 
 @pytest.fixture(scope="module")
 def risk(spark, status):
-    index = trait_index(stage(_table(spark, "estimates_fishbase").drop("eco_ind"), "golden-traits"))
+    index = trait_index(stage(_table(spark, "traits").drop("eco_ind"), "golden-traits"))
     profile = stage(zone_species_profile(status), "golden-profile")
     scored = production_scores_of(profile)
-    zones = _table(spark, "std_scores").select("zone", "province", "realm")
-    agents = pathogenic_score(_table(spark, "disease_data_ecoreg"), scored)
+    zones = _table(spark, "risk").select("zone", "province", "realm")
+    agents = pathogenic_score(_table(spark, "pathogens"), scored)
     return stage(overall_risk(scored, invasive_score_of(profile, index), agents, zones), "golden-risk")
 
 
 def test_apportioned_production(spark):
-    by_hand = _table(spark, "production_country_data_ecoreg_manual")
-    expected = _table(spark, "mean_prod_ecoreg").distinct()
+    by_hand = _table(spark, "unit_zones")
+    expected = _table(spark, "apportioned").distinct()
     _same(apportion_zones(by_hand.distinct(), UNIT), expected, [*UNIT, "zone"], ["n_zones", "zone_prod"])
 
 
@@ -78,18 +85,18 @@ def test_status_of_units(spark, status):
 
 
 def test_trait_index(spark):
-    expected = _table(spark, "estimates_fishbase")
+    expected = _table(spark, "traits")
     _same(trait_index(stage(expected.drop("eco_ind"), "golden-traits")), expected, ["species"], ["eco_ind"])
 
 
 def test_scores_per_zone(spark, status):
     figures = ["n_total", "n_introduced", "n_native", "prod_total", "prod_native", "prod_introduced", "genetic_score"]
-    _same(zone_production_scores(status), _table(spark, "prod_all_status_scores"), ["zone"], figures)
+    _same(zone_production_scores(status), _table(spark, "zone_scores"), ["zone"], figures)
 
 
 def test_overall_risk(spark, risk):
     figures = ["prod_total", "prod_native", "prod_introduced", "Genetic", "Invasive", "Diseases", "Overall"]
-    _same(risk, _table(spark, "std_scores"), ["zone", "province", "realm"], figures)
+    _same(risk, _table(spark, "risk"), ["zone", "province", "realm"], figures)
 
 
 def test_reports(risk):
