@@ -3,10 +3,11 @@
 Words are the symbols. Windows of documents and of benchmark items are embedded by CGK random walks: a
 walk reads the symbol under it, writes it out and steps on or stays as a random bit of (step, symbol)
 says, so that windows at a small edit distance agree in most places of the output. A hash function of the
-Hamming LSH samples a few places of a walk; several walks with several samples repeat it. An item-sized
-stretch of the document around each collision is then aligned with the item, and only true edit distances
-count. Short items, for which a window is too coarse, are cut into one piece more than they may have edits:
-one piece at least is unchanged in every match, so looking up all pieces misses none.
+Hamming LSH samples a few places of a walk; several walks with several samples repeat it. The size of the
+windows, the places and the repetitions follow from the number of words of the item, so that items of every
+length are found with the target recall (CLASSES). An item-sized stretch of the document around each
+collision is then aligned with the item, and only true edit distances count. Collisions are aligned in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -14,30 +15,39 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fathomline.llm.minhash import slices
-from fathomline.llm.words import Words, hash_runs, map_batches, mix, shingle_hashes, text_bytes
-
-# Words of the windows that are hashed; items and documents have one at each of their words.
-WINDOW = 8
-# Walks, steps of a walk, and places sampled from one.
-WALKS = 12
-STEPS = 2 * WINDOW
-SAMPLED = 6
-LEAST_SAMPLED = 3
-# Items of fewer words are looked up by pieces, of at most so many words.
-PIECED = 32
-PIECE = 3
+from fathomline.llm.words import Words, hash_runs, map_batches, mix, text_bytes
+
 # Edits (words replaced, left out or put in) that still make a match, as a share of the item's words.
 EDITS = 0.25
-# Bytes of item text that may be sent to every task.
-ITEM_BYTES = 64 * 1024**2
+# Windows by the words of an item: (least words of the item, words of a window, sampled places, least
+# different places among them, walks). A walk has two steps a word. Items and documents have a window at each
+# word; there is no window over an item's end. Target: 0.98 of the items whose words have been edited as much
+# as EDITS allows, at every length, by substitutions or by all kinds of edits.
+CLASSES = [
+    (1, 1, 2, 1, 1),
+    (2, 2, 4, 2, 12),
+    (3, 3, 6, 3, 16),
+    (4, 3, 3, 2, 32),
+    (5, 4, 3, 2, 24),
+    (6, 4, 3, 3, 48),
+    (8, 5, 4, 3, 32),
+    (10, 6, 4, 3, 20),
+    (14, 8, 6, 3, 18),
+]
+# Bytes of item text that are sent to every task at once; a larger benchmark is searched in parts.
+ITEM_BYTES = 8 * 1024**2
+# Collisions, and cells of the alignments, that a task holds at once.
+COLLISIONS = 1 << 20
+CELLS = 1 << 21
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 
@@ -114,19 +124,23 @@ def split_words(column: pa.Array, classes: np.ndarray) -> Words:
     return Words(hash_runs(data, starts, ends), np.searchsorted(starts, bounds).astype(np.int64), starts, ends, data)
 
 
-def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
-    """LSH key of the windows of ``symbols`` that begin at ``at``, for one walk.
+def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int, size: int, sampled: int, least: int) -> np.ndarray:
+    """LSH key of the windows of ``size`` symbols that begin at ``at``, for one walk.
 
-    A walk never leaves a zero, so the zero after a text keeps it from the next one. A walk that
-    samples fewer than LEAST_SAMPLED different words says too little (it stays on a common word), its key is 0.
+    A walk never leaves a zero, so the zero after a text or a window ends it. A walk that samples fewer
+    than ``least`` different words says too little (it stays on a common word), its key is 0.
     """
-    rng = np.random.default_rng(1000 + walk)
-    places = set(rng.choice(STEPS, SAMPLED, replace=False).tolist())
-    masks = rng.integers(0, 64, STEPS)
+    rng = np.random.default_rng(1000 * size + walk)
+    steps = 2 * size
+    places = set(rng.choice(steps, sampled, replace=False).tolist())
+    masks = rng.integers(0, 64, steps)
     told, before = np.zeros(len(at), dtype=np.int8), np.int64(-1)
     here, key = at.astype(np.int64), np.full(len(at), np.uint64(walk + 1))
-    for step in range(STEPS):
+    end = here + size
+    for step in range(steps):
         symbol = symbols[here]
+        if step >= size:
+            symbol *= here < end
         if step in places:
             key *= _GOLDEN
             key ^= symbol
@@ -137,26 +151,21 @@ def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
         symbol &= np.uint64(1)
         here += symbol.view(np.int64)
     key = mix(key)
-    key[told < LEAST_SAMPLED] = 0
+    key[told < least] = 0
     return key
 
 
 @dataclass
 class Items:
-    """The benchmark: words of each item, and per walk its sorted keys with the item and offset of each.
+    """The benchmark: words of all items one after another, item k at ``first[k]`` to ``first[k + 1]``.
 
-    ``pieces`` has the same for each width of the pieces of short items, as (width, keys, owners, offsets);
-    ``classes`` are those of all characters.
+    ``walks`` has (number of the walk, class, sorted keys, word at which the window of each key begins, filter).
     """
 
     ids: list[int]
-    words: list[np.ndarray]
-    keys: list[np.ndarray]
-    owners: list[np.ndarray]
-    offsets: list[np.ndarray]
-    filters: list[np.ndarray]
-    distinct: list[frozenset]
-    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    words: np.ndarray
+    first: np.ndarray
+    walks: list[tuple[int, tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray]]
     classes: np.ndarray
 
 
@@ -164,133 +173,174 @@ def _apart(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """The symbols with a zero after each text, and the place of each word among them."""
     place = np.arange(len(hashes)) + owner
     symbols = np.zeros(place[-1] + 2 if len(place) else 1, dtype=np.uint64)
-    symbols[place] = np.maximum(hashes, np.uint64(1))
+    symbols[place] = hashes
     return symbols, place
 
 
 def prepare(ids: list[int], texts: list[str]) -> Items:
-    """Hash the windows of long items and the pieces of short ones; an item without words is none."""
+    """Hash the windows of all items; an item without words is none."""
     classes = character_classes()
     split = split_words(pa.array([t.lower() for t in texts], pa.string()), classes)
-    words, kept = [], []
-    for k, item in enumerate(ids):
-        own = split.hashes[split.first[k] : split.first[k + 1]]
-        if len(own):
-            words.append(own), kept.append(item)
-    windows = [len(w) - WINDOW + 1 if len(w) >= PIECED else 0 for w in words]
-    owner = np.concatenate([np.full(n, k) for k, n in enumerate(windows)] or [np.zeros(0, int)])
-    offset = np.concatenate([np.arange(n) for n in windows] or [np.zeros(0, int)])
-    base = np.cumsum([0] + [len(w) for w in words])[:-1]
-    whose = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    symbols, place = _apart(np.concatenate(words) if words else np.zeros(0, np.uint64), whose)
-    begins = place[(base[owner] + offset).astype(np.int64)] if len(owner) else np.zeros(0, np.int64)
-    out = Items(kept, words, [], [], [], [], [frozenset(w.tolist()) for w in words], _pieces(words), classes)
-    for walk in range(WALKS):
-        keys = walk_keys(symbols, begins, walk)
-        order = np.argsort(keys, kind="stable")[np.count_nonzero(keys == 0) :]
-        out.keys.append(keys[order]), out.owners.append(owner[order]), out.offsets.append(offset[order])
-        seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        out.filters.append(seen)
+    length = np.diff(split.first)
+    kept = np.flatnonzero(length)
+    length = length[kept]
+    words = np.maximum(split.hashes, np.uint64(1))
+    first = np.append(0, np.cumsum(length))
+    owner = np.repeat(np.arange(len(kept)), length)
+    symbols, place = _apart(words, owner)
+    left = first[owner + 1] - np.arange(len(words))
+    out = Items([ids[k] for k in kept], words, first, [], classes)
+    above = [c[0] for c in CLASSES[1:]] + [np.inf]
+    for (fewest, size, sampled, least, walks), more in zip(CLASSES, above):
+        own = (length >= fewest) & (length < more)
+        at = np.flatnonzero(own[owner] & (left >= size))
+        for walk in range(walks if len(at) else 0):
+            keys = walk_keys(symbols, place[at], walk, size, sampled, least)
+            order = np.argsort(keys, kind="stable")[np.count_nonzero(keys == 0) :]
+            seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
+            seen[(keys[order] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            begins = at[order].astype(np.int32)
+            out.walks.append((walk, (size, sampled, least), keys[order], begins, np.packbits(seen)))
     return out
 
 
-def _pieces(words: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The pieces of short items by width: one more than the item may have edits, so one of them is unchanged."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for k, own in enumerate(words):
-        if len(own) < PIECED:
-            parts = 1 + int(EDITS * len(own))
-            for part in range(parts):
-                begin, end = part * len(own) // parts, (part + 1) * len(own) // parts
-                width = min(PIECE, end - begin)
-                found.setdefault(width, []).append((shingle_hashes(own[begin : begin + width], width)[0], k, begin))
-    out = []
-    for width, rows in sorted(found.items()):
-        keys, owners, offsets = zip(*rows)
-        keys = np.array(keys, dtype=np.uint64)
-        order = np.argsort(keys, kind="stable")
-        out.append((width, keys[order], np.array(owners)[order], np.array(offsets)[order]))
-    return out
+def edit_distances(
+    items: np.ndarray, texts: np.ndarray, inside: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least word edits between each row of ``items`` and any stretch of the same row of ``texts``.
 
-
-def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Least word edits between ``item`` and any stretch of ``text``: (edits, begin, end) of the best stretch."""
-    n = len(text)
-    above = np.zeros(n + 1, dtype=np.int64)
-    begin = np.arange(n + 1, dtype=np.int64)
-    ramp = np.arange(n + 1, dtype=np.int64)
-    for row, word in enumerate(item, 1):
-        diagonal = above[:-1] + (text != word)
-        upper = above[1:] + 1
-        best = np.append(row, np.minimum(diagonal, upper))
-        came = np.append(begin[0], np.where(diagonal <= upper, begin[:-1], begin[1:]))
+    (edits, begin, end) of the best stretch of each row; what is not ``inside`` is no word and matches nothing.
+    """
+    rows, n = texts.shape
+    ramp = np.arange(n + 1, dtype=np.int32)
+    above = np.zeros((rows, n + 1), dtype=np.int32)
+    begin = np.tile(ramp, (rows, 1))
+    closed = ~inside * np.int32(items.shape[1] + 1)
+    for row in range(items.shape[1]):
+        diagonal = above[:, :-1] + (texts != items[:, row, None]) + closed
+        upper = above[:, 1:] + 1
+        best = np.empty_like(above)
+        best[:, 0] = row + 1
+        came = np.empty_like(begin)
+        came[:, 0] = begin[:, 0]
+        np.minimum(diagonal, upper, out=best[:, 1:])
+        came[:, 1:] = np.where(diagonal <= upper, begin[:, :-1], begin[:, 1:])
         # a word of the text that the item lacks: the least value to the left plus the way from it
-        reach = np.minimum.accumulate(best - ramp)
-        source = np.maximum.accumulate(np.where(best - ramp == reach, ramp, 0))
-        above, begin = reach + ramp, came[source]
-    end = int(np.argmin(above))
-    return int(above[end]), int(begin[end]), end
-
+        best -= ramp
+        reach = np.minimum.accumulate(best, axis=1)
+        source = np.maximum.accumulate(np.where(best == reach, ramp, 0), axis=1)
+        above, begin = reach + ramp, np.take_along_axis(came, source, axis=1)
+    end = np.argmin(above, axis=1)
+    at = np.arange(rows)
+    return above[at, end], begin[at, end], end
 
-def _collisions(words: Words, items: Items) -> np.ndarray:
-    """Distinct (text, item, shift) where a document window and an item window share a key.
 
-    The shift is the word at which the item would begin, counted from the text's first word.
+def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Least word edits between ``item`` and any stretch of ``text``: (edits, begin, end) of the best stretch."""
+    row = np.asarray(text)[None]
+    edits, begin, end = edit_distances(np.asarray(item)[None], row, np.ones(row.shape, dtype=bool))
+    return int(edits[0]), int(begin[0]), int(end[0])
+
+
+def _align(words: Words, items: Items, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Rows (text, item, edits, first word, end word) for the stretches that match; ``begin`` counts words of the text."""
+    out = [np.zeros((0, 5), dtype=np.int64)]
+    length = np.diff(items.first)[item]
+    for n in np.unique(length):
+        allowed = int(EDITS * n)
+        width = n + 3 * allowed
+        own = np.flatnonzero(length == n)
+        for part in np.array_split(own, -(-len(own) * width // CELLS)):
+            first, last = words.first[text[part]], words.first[text[part] + 1]
+            start = first + begin[part] - allowed
+            at = start[:, None] + np.arange(width)
+            inside = (at >= first[:, None]) & (at < last[:, None])
+            stretch = np.where(inside, np.maximum(words.hashes[np.where(inside, at, 0)], np.uint64(1)), np.uint64(0))
+            wanted = items.words[items.first[item[part]][:, None] + np.arange(n)]
+            # every word of the item that the stretch lacks costs an edit
+            live, lacks = part, np.zeros(len(part), dtype=np.int64)
+            for k in range(n):
+                lacks += ~(stretch == wanted[:, k, None]).any(axis=1)
+                fit = lacks <= allowed
+                if 2 * np.count_nonzero(fit) < len(live) or k == n - 1:
+                    live, lacks, stretch, wanted, inside = (x[fit] for x in (live, lacks, stretch, wanted, inside))
+            edits, a, b = edit_distances(wanted, stretch, inside)
+            good = np.flatnonzero(edits <= allowed)
+            at = live[good]
+            origin = begin[at] - allowed
+            out.append(np.stack([text[at], item[at], edits[good], origin + a[good], origin + b[good]], axis=1))
+    return np.concatenate(out)
+
+
+def _best(rows: np.ndarray) -> np.ndarray:
+    """Of the rows of each pair (text, item) the one of the fewest edits, the first of those."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    other = np.ones(len(rows), dtype=bool)
+    other[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    return rows[other]
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    return codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
+
+
+def _matching(words: Words, items: Items) -> np.ndarray:
+    """The best row of ``_align`` for each text and item with a window in common.
+
+    Collisions are taken in blocks: those of one item within as many words as it may have edits meet the same
+    stretch and are aligned once.
     """
     total = len(words.hashes)
+    found = np.zeros((0, 5), dtype=np.int64)
     if not total or not items.ids:
-        return np.zeros((0, 3), dtype=np.int64)
+        return found
     owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    symbols, places = _apart(words.hashes, owner)
-    found = [np.zeros((0, 3), dtype=np.int64)]
-
-    def look_up(keys, at, item_keys, owners, offsets):
-        low = np.searchsorted(item_keys, keys)
-        high = np.searchsorted(item_keys, keys, side="right")
-        count = high - low
-        entry = np.repeat(high - np.cumsum(count), count) + np.arange(count.sum())
-        place = np.repeat(at, count)
-        shift = place - words.first[owner[place]] - offsets[entry]
-        found.append(np.stack([owner[place], owners[entry], shift], axis=1))
-
-    at = np.arange(total)
-    for walk in range(WALKS if len(items.keys[0]) else 0):
-        keys = walk_keys(symbols, places, walk)
-        likely = np.flatnonzero(items.filters[walk][(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        look_up(keys[likely], at[likely], items.keys[walk], items.owners[walk], items.offsets[walk])
-    for width, *pieces in items.pieces:
-        at = np.flatnonzero(np.arange(total) + width <= words.first[owner + 1])
-        if not len(at):
-            continue
-        look_up(shingle_hashes(words.hashes, width)[at], at, *pieces)
-    return np.unique(np.concatenate(found), axis=0)
+    symbols, places = _apart(np.maximum(words.hashes, np.uint64(1)), owner)
+    length = np.diff(items.first)
+    whose = np.repeat(np.arange(len(length)), length)
+    step = (EDITS * length).astype(np.int64) + 1
+    # one number for a text and a place: a text's places begin after all that an item may reach before it
+    bias = 2 * int(length.max())
+    base = words.first[:-1] + bias * (np.arange(len(words.first) - 1) + 1)
+    span = int(words.first[-1]) + bias * (len(words.first) + 1)
+    waiting, held = [], 0
+
+    def settle(found):
+        code = _distinct(np.concatenate(waiting))
+        item, place = np.divmod(code, span)
+        text = np.searchsorted(base - bias, place, side="right") - 1
+        return _best(np.concatenate([found, _align(words, items, text, item, place - base[text])]))
+
+    for walk, kind, own_keys, begins, seen in items.walks:
+        keys = walk_keys(symbols, places, walk, *kind)
+        seen = np.unpackbits(seen).view(bool)
+        at = np.flatnonzero(seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        low = np.searchsorted(own_keys, keys[at])
+        count = np.searchsorted(own_keys, keys[at], side="right") - low
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        block = np.cumsum(count) // COLLISIONS
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(block)) + 1):
+            each = count[part]
+            entry = np.repeat(low[part] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            word = begins[entry]
+            item = whose[word]
+            place = np.repeat(at[part], each)
+            text = owner[place]
+            begin = place - words.first[text] - (word - items.first[item])
+            # the first of the beginnings that share a stretch
+            begin -= begin % step[item]
+            waiting.append(_distinct(item * span + base[text] + begin))
+            held += len(waiting[-1])
+            if held > COLLISIONS:
+                found, waiting, held = settle(found), [], 0
+    return settle(found) if waiting else found
 
 
 def find(texts: pa.Array, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(edits, first word, end word) of the best stretch for each pair (text, item) that matches."""
-    words = split_words(texts, items.classes)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: dict[tuple[int, int], int] = {}
-    for text, item, shift in _collisions(words, items).tolist():
-        own = items.words[item]
-        allowed = int(EDITS * len(own))
-        # shifts that fall into the stretch aligned last need no alignment of their own
-        if (text, item) in tried and shift <= tried[text, item]:
-            continue
-        if best.get((text, item), (1,))[0] == 0:
-            continue
-        first, last = words.first[text], words.first[text + 1]
-        begin = max(first, first + shift - allowed)
-        stretch = words.hashes[begin : min(last, first + shift + len(own) + 2 * allowed)]
-        # every word of the item that the stretch lacks costs an edit
-        if len(items.distinct[item].difference(stretch.tolist())) > allowed:
-            continue
-        tried[text, item] = shift + allowed
-        edits, a, b = edit_distance(own, stretch)
-        if edits <= allowed and (edits, 0, 0) < best.get((text, item), (allowed + 1, 0, 0)):
-            best[text, item] = (edits, int(begin - first) + a, int(begin - first) + b)
-    return best
+    rows = _matching(split_words(texts, items.classes), items)
+    return {(text, item): (edits, a, b) for text, item, edits, a, b in rows.tolist()}
 
 
 def _matches(items: Items):
@@ -300,7 +350,7 @@ def _matches(items: Items):
         for batch in slices(batches, 512):
             ids, out = batch.column(0).to_pylist(), []
             for (text, item), (edits, a, b) in find(batch.column(1), items).items():
-                out.append((ids[text], items.ids[item], edits, len(items.words[item]), a, b))
+                out.append((ids[text], items.ids[item], edits, int(items.first[item + 1] - items.first[item]), a, b))
             columns = list(zip(*out)) or [()] * 6
             yield pa.record_batch(
                 [pa.array(c, pa.int64()) for c in columns],
@@ -310,35 +360,41 @@ def _matches(items: Items):
     return run
 
 
-def benchmark_items(benchmark: DataFrame) -> Broadcast:
-    """The hashed benchmark for all tasks; its size is checked."""
+def benchmark_items(benchmark: DataFrame) -> list[Broadcast]:
+    """The hashed benchmark for all tasks, in as many parts as keep each to about ITEM_BYTES of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("text IS NOT NULL AND item_id IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > ITEM_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; run it in parts of at most {ITEM_BYTES}")
-    rows = items.distinct().orderBy("item_id", "text").collect()
-    prepared = prepare([r.item_id for r in rows], [r.text for r in rows])
-    # plain values: executors may lack this package
-    return benchmark.sparkSession.sparkContext.broadcast(vars(prepared))
+    items = items.where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
+    parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES
+    out = []
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        rows = own.orderBy("item_id", "text").collect()
+        prepared = prepare([r.item_id for r in rows], [r.text for r in rows])
+        # plain values: executors may lack this package
+        out.append(benchmark.sparkSession.sparkContext.broadcast(vars(prepared)))
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns.
 
-    A null text holds none. Decided row by row, so repeated ids and rows without id need no care.
+    A null text holds none; an item of one word drops every document that has the word. Decided row by row,
+    so repeated ids and rows without id need no care.
     """
-    kept = benchmark_items(benchmark)
+    schema = StructType([StructField("row", docs.schema), StructField("text", StringType())])
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), _lowered("text").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(**kept.value)
-        for batch in slices(batches, 512):
-            ok = np.ones(batch.num_rows, dtype=bool)
-            ok[[text for text, _ in find(batch.column(1), items)]] = False
-            yield batch.select(["row"]).filter(pa.array(ok))
+    def without(rows: DataFrame, part: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(**part.value)
+            for batch in slices(batches, 512):
+                ok = np.ones(batch.num_rows, dtype=bool)
+                ok[[text for text, _ in find(batch.column(1), items)]] = False
+                yield batch.filter(pa.array(ok))
+
+        return rows.transform(map_batches, run, schema)
 
-    return rows.transform(map_batches, run, StructType([rows.schema["row"]])).select("row.*")
+    return reduce(without, benchmark_items(benchmark), rows).select("row.*")
 
 
 def _lowered(column: str) -> Column:
@@ -354,13 +410,16 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     word. Each pair of a document row and an item is reported once, with its best stretch
     (word positions, end exclusive). Items without words, null texts and documents without a match
     give no row; a repeated document row repeats its rows, a null doc_id stays null, other columns
-    are ignored. The benchmark is hashed once and sent to every task; its size is checked.
+    are ignored. The benchmark is hashed once and sent to every task, in parts where it is large.
     """
-    kept = benchmark_items(benchmark)
+    columns = ("doc_id", "item_id", "edits", "item_words", "first_word", "end_word")
+    schema = ", ".join(f"{c} long" for c in columns)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lowered("text").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _matches(Items(**kept.value))(batches)
+    def searched(part: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _matches(Items(**part.value))(batches)
 
-    columns = ("doc_id", "item_id", "edits", "item_words", "first_word", "end_word")
-    return texts.transform(map_batches, run, ", ".join(f"{c} long" for c in columns))
+        return texts.transform(map_batches, run, schema)
+
+    return reduce(DataFrame.unionAll, map(searched, benchmark_items(benchmark)))
