@@ -41,13 +41,15 @@ CLASSES = [
     (6, 4, 3, 3, 48),
     (8, 5, 4, 3, 32),
     (10, 6, 4, 3, 20),
-    (14, 8, 6, 3, 18),
+    (14, 6, 4, 3, 12),
 ]
 # Bytes of item text that are sent to every task at once; a larger benchmark is searched in parts.
 ITEM_BYTES = 8 * 1024**2
 # Collisions, and cells of the alignments, that a task holds at once.
 COLLISIONS = 1 << 20
 CELLS = 1 << 21
+# Words that walk together: their arrays stay in the cache of a core.
+WALKED = 1 << 14
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 
@@ -124,48 +126,68 @@ def split_words(column: pa.Array, classes: np.ndarray) -> Words:
     return Words(hash_runs(data, starts, ends), np.searchsorted(starts, bounds).astype(np.int64), starts, ends, data)
 
 
-def walk_keys(symbols: np.ndarray, at: np.ndarray, walk: int, size: int, sampled: int, least: int) -> np.ndarray:
-    """LSH key of the windows of ``size`` symbols that begin at ``at``, for one walk.
+def walk_keys(
+    symbols: np.ndarray, at: np.ndarray, walk: int, kind: tuple[int, int, int], early: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LSH keys of the windows that begin at ``at``, for one walk of a ``kind`` (size, sampled places, least words).
 
-    A walk never leaves a zero, so the zero after a text or a window ends it. A walk that samples fewer
-    than ``least`` different words says too little (it stays on a common word), its key is 0.
+    (keys, which of ``at`` they belong to, keys of the first half of the places). A window whose first half is not
+    in the filter ``early`` is given up there. A walk never leaves a zero, so the zero after a text or a
+    window ends it. A walk that samples too few different words says too little (it stays on a common
+    word), its key is 0.
     """
+    size, sampled, least = kind
     rng = np.random.default_rng(1000 * size + walk)
     steps = 2 * size
-    places = set(rng.choice(steps, sampled, replace=False).tolist())
-    masks = rng.integers(0, 64, steps)
-    told, before = np.zeros(len(at), dtype=np.int8), np.int64(-1)
-    here, key = at.astype(np.int64), np.full(len(at), np.uint64(walk + 1))
+    places = np.sort(rng.choice(steps, sampled, replace=False)).tolist()
+    masks = rng.integers(0, 64, steps).astype(np.uint64)
+    which, half = np.arange(len(at)), np.zeros(0, dtype=np.uint64)
+    here, key, seen = at.astype(np.int64), np.full(len(at), np.uint64(walk + 1)), []
     end = here + size
-    for step in range(steps):
+    for step in range(places[-1] + 1):
         symbol = symbols[here]
         if step >= size:
             symbol *= here < end
         if step in places:
             key *= _GOLDEN
             key ^= symbol
-            told += (here != before) & (symbol != 0)
-            before = here.copy()
+            seen.append(here)
         # the random bit of this step and symbol: one of the 64 mixed bits of the symbol
-        symbol >>= np.uint64(masks[step])
+        symbol >>= masks[step]
         symbol &= np.uint64(1)
-        here += symbol.view(np.int64)
+        here = here + symbol.view(np.int64)
+        if step == places[(sampled - 1) // 2]:
+            half = key * _GOLDEN
+            if early is not None:
+                live = np.flatnonzero(early[half >> np.uint64(64 - _FILTER_BITS)])
+                here, key, end, which, *seen = (x[live] for x in (here, key, end, which, *seen))
     key = mix(key)
+    told, before = np.zeros(len(key), dtype=np.int8), np.int64(-1)
+    for place in seen:
+        told += (place != before) & (place < end) & (symbols[place] != 0)
+        before = place
     key[told < least] = 0
-    return key
+    return key, which, half
+
+
+def _filter(keys: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
+    return np.packbits(seen)
 
 
 @dataclass
 class Items:
     """The benchmark: words of all items one after another, item k at ``first[k]`` to ``first[k + 1]``.
 
-    ``walks`` has (number of the walk, class, sorted keys, word at which the window of each key begins, filter).
+    ``walks`` has (number of the walk, kind, sorted keys, word at which the window of each key begins, filter of
+    the keys' first halves, filter of the keys).
     """
 
     ids: list[int]
     words: np.ndarray
     first: np.ndarray
-    walks: list[tuple[int, tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray]]
+    walks: list[tuple[int, tuple[int, int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     classes: np.ndarray
 
 
@@ -195,12 +217,11 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
         own = (length >= fewest) & (length < more)
         at = np.flatnonzero(own[owner] & (left >= size))
         for walk in range(walks if len(at) else 0):
-            keys = walk_keys(symbols, place[at], walk, size, sampled, least)
+            kind = (size, sampled, least)
+            keys, _, half = walk_keys(symbols, place[at], walk, kind)
             order = np.argsort(keys, kind="stable")[np.count_nonzero(keys == 0) :]
-            seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            seen[(keys[order] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            begins = at[order].astype(np.int32)
-            out.walks.append((walk, (size, sampled, least), keys[order], begins, np.packbits(seen)))
+            keys, begins = keys[order], at[order].astype(np.int32)
+            out.walks.append((walk, kind, keys, begins, _filter(half[order]), _filter(keys)))
     return out
 
 
@@ -312,12 +333,16 @@ def _matching(words: Words, items: Items) -> np.ndarray:
         text = np.searchsorted(base - bias, place, side="right") - 1
         return _best(np.concatenate([found, _align(words, items, text, item, place - base[text])]))
 
-    for walk, kind, own_keys, begins, seen in items.walks:
-        keys = walk_keys(symbols, places, walk, *kind)
-        seen = np.unpackbits(seen).view(bool)
-        at = np.flatnonzero(seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(own_keys, keys[at])
-        count = np.searchsorted(own_keys, keys[at], side="right") - low
+    for walk, kind, own_keys, begins, early, seen in items.walks:
+        early, seen = np.unpackbits(early).view(bool), np.unpackbits(seen).view(bool)
+        at, keys = [], []
+        for begin in range(0, total, WALKED):
+            own, which, _ = walk_keys(symbols, places[begin : begin + WALKED], walk, kind, early)
+            likely = np.flatnonzero(seen[own >> np.uint64(64 - _FILTER_BITS)])
+            at.append(begin + which[likely]), keys.append(own[likely])
+        at, keys = np.concatenate(at), np.concatenate(keys)
+        low = np.searchsorted(own_keys, keys)
+        count = np.searchsorted(own_keys, keys, side="right") - low
         at, low, count = at[count > 0], low[count > 0], count[count > 0]
         block = np.cumsum(count) // COLLISIONS
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(block)) + 1):

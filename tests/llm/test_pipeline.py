@@ -74,3 +74,19 @@ def test_stages_keep_the_columns(spark, folder):
     for _, work in corpus_pipeline.STAGES[:-1]:
         out = work(spark, docs.limit(0), path)
         assert out.dtypes == docs.dtypes and out.count() == 0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [
+        (1, "one text of its own words here", "a"), (1, "quite another text with nothing shared", "b"),
+        (2, long, "c"), (2, long + " more", "d"), (2, long, "e"), (3, long, "f"), (4, None, "g"), (4, "", "h"), (4, "some text", "i"),
+        (5, "quite another text with nothing shared", "j"), (None, long, "k"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or -1, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert [g for g in got if g[0] == 1 or g[0] == 5].count((1, rows[0][1])) == 1
+    assert sum(t == rows[1][1] for _, t in got) == 1  # linked with the text of id 5: one of them stays
+    assert sum(t.startswith(long) and k > 0 for k, t in got) == 1
+    assert [t for k, t in got if k == 4] == ["", "some text"]
+    assert (-1, long) in got and len(got) == 6
