@@ -23,17 +23,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model, "row").where("score < 0.5").select("row.*")
 
 
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the doc_id, but a hashed number above all usual ids for further texts of one id.
+
+    Rows get the same key only if they share id and text.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    per_id = docs.groupBy("doc_id").agg(F.min(text).alias("_own"), F.max(text).alias("_last"))
+    several = stage(per_id.where("_own < _last").select(F.col("doc_id").alias("_id"), "_own"), "several")
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2) + F.lit(1 << 62)
+    key = F.when(F.col("_own").isNull() | (text == F.col("_own")), F.col("doc_id").cast("long")).otherwise(other)
+    return docs.join(several, F.col("doc_id") == F.col("_id"), "left").select(*[f"`{c}`" for c in docs.columns], key.alias("_key"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id, once.
 
-    Of several rows with that id the one of the smallest text stays.
+    Rows that share an id are told apart by their texts: each that is linked with nothing stays.
     """
-    kept = stage(
-        near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept"
-    )
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    named = _row_keys(docs.where("doc_id IS NOT NULL"))
+    found = near_duplicates(named.select("_key", "text"), id_column="_key")
+    kept = stage(found.where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     row = F.struct(*[f"`{c}`" for c in docs.columns])
-    one = named.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    rows = named.join(kept, F.col("_key") == F.col("_kept"), "left_semi").select("_key", row.alias("_row"))
+    one = rows.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
