@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.functions.student_t import TABLE_SIZE, expansion_coefficients, t_table
 from fathomline.operators.nested import all_values, nest, nest_tables, unnest
@@ -110,24 +110,33 @@ _PROSE = [
 
 
 def occurrence_files(t: StarTables, points: DataFrame, layouts: list[list[str]]) -> str:
-    """Occurrence files made of ``points`` (file and the columns of the header as text): in each of them prose, a
-    header in the order of its layout, and a line per point."""
+    """Occurrence files made of ``points`` (file and the columns of the header as text): for each layout any number
+    of files, in each of them prose, a header in the order of the layout, and a line per point.
+
+    Each task writes the points it has, as they come, to a file of its own, which it begins with the lines above
+    them. So nothing is dealt by layout or sorted, and no file holds more than a task has read. The lines above are
+    also written once by themselves, for a layout without points.
+    """
     path = fresh_path(t.spark, "occurrences")
     rest = F.lit("7101:247:3,66,24.5,35.7,2415,0,19")
     known = {"Genus": "genus", "Species": "epithet", "Center Lat": "lat", "Center Long": "lon", "Overall Probability": "probability"}
-    lines = []
     for number, layout in enumerate(layouts):
-        above = F.array(*[F.lit(line) for line in [*_PROSE[number:], ",".join(layout)]])
-        one = t.table("region").limit(1).select(F.posexplode(above).alias("place", "value"))
-        lines.append(one.select(F.lit(number).alias("file"), "place", "value"))
+        above = [F.lit(line) for line in [*_PROSE[number:], ",".join(layout)]]
         cells = [known[c] if c in known else F.get(F.split(rest, ","), F.lit(i % 7)) for i, c in enumerate(layout)]
-        own = points.where(F.col("file") == number)
-        lines.append(own.select(F.lit(number).alias("file"), F.lit(99).alias("place"), F.concat_ws(",", *cells).alias("value")))
-    ordered = union_all(*lines).repartition("file").sortWithinPartitions("file", "place")
-    ordered.select("file", "value").write.partitionBy("file").text(path)
+        line = F.concat_ws(",", *cells)
+        own = points.where(F.col("file") == number).select(line.alias("line"), _place_in_task().alias("place"))
+        first = F.array(*above, "line")
+        lines = own.select(F.explode(F.when(F.col("place") == 0, first).otherwise(F.array("line"))).alias("value"))
+        for part in (t.table("region").limit(1).select(F.explode(F.array(*above)).alias("value")), lines):
+            part.write.mode("append").option("maxRecordsPerFile", 0).text(f"{path}/{number}")
     return f"{path}/*"
 
 
+def _place_in_task() -> Column:
+    """Number of a row within its partition, from 0: the lower 33 bits of an increasing id."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
 @register(
     "x06_load_occurrences",
     """SELECT CASE species WHEN 'Brand#7' THEN 'Brand 8' ELSE replace(species, '#', ' ') END AS species, lat, lon

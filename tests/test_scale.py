@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import relational as rel
+from fathomline.plans.job_queries import occurrence_files
 from fathomline.plans.scores import zone_production_scores
+from fathomline.plans.star_tables import StarTables
 from fathomline.session import INPUT_PER_PARTITION, folder_bytes, tune
+from fathomline.sources.occurrences import read_occurrences
 from fathomline.sources.tables import stage
 
 
@@ -93,3 +96,26 @@ def test_shuffle_partitions_follow_the_input(spark, tmp_path):
     assert int(spark.conf.get(key)) == -(-100 * 10**12 // INPUT_PER_PARTITION)
     tune(spark, 1000)
     assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+@pytest.mark.parametrize("most", ["0", "50"])
+def test_occurrence_files_are_made_without_a_task_for_a_layout(spark, tmp_path, most):
+    """Each task writes its points below a header of its own, also in a session that cuts files at some records."""
+    spark.createDataFrame([(0, "AFRICA")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    points = spark.range(0, 4000, 1, 16).select(
+        F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("file"),
+        F.lit("A").alias("genus"),
+        F.concat(F.lit("a"), (F.col("id") % 7).cast("string")).alias("epithet"),
+        (F.col("id") * 0.25).cast("string").alias("lat"),
+        F.lit("2.0").alias("lon"),
+    )
+    # the third layout has no points
+    layouts = [["Genus", "Species", "Center Lat", "Center Long"], ["Center Long", "Depth", "Center Lat", "Species", "Genus"], ["Genus", "Species", "Center Lat", "Center Long"]]
+    with settings(spark, spark__sql__files__maxRecordsPerFile=most):
+        path = occurrence_files(StarTables(spark, str(tmp_path)), points, layouts)
+    found, problems = read_occurrences(spark, path)
+    made = points.select(F.concat_ws(" ", "genus", "epithet"), F.col("lat").cast("double"), F.col("lon").cast("double"))
+    read = found.select("species", "lat", "lon")
+    assert read.count() == 4000 and read.exceptAll(made).count() == 0 and problems.count() == 0
+    per_file = {r[0]: r[1] for r in found.groupBy("file").count().collect()}
+    assert len(per_file) == 32 and max(per_file.values()) <= 250
